@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chatformat, mixing, packing, quality, simhash, tokenout, toxicity, urlfilter, vecdedup
+from . import bm25, chatformat, mixing, packing, quality, simhash, tokenout, toxicity, urlfilter, vecdedup
 from .common import fold, scratch, table
 from .tokenizer import public
 
@@ -49,6 +49,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are all documents whose id is divisible by 100, whole, against all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.search(docs, docs.filter("doc_id % 100 = 0"), bm25.TOP)
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -60,7 +66,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_simhash, op2_url_filters, op3_packing, op4_quality, op5_toxicity, op6_chat_format, op7_mixing, op9_embedding_dedup, op10_token_output]
+    found = [op1_simhash, op2_url_filters, op3_packing, op4_quality, op5_toxicity, op6_chat_format, op7_mixing, op8_bm25, op9_embedding_dedup, op10_token_output]
     return {f.__name__: f for f in found}
 
 
