@@ -101,6 +101,8 @@ class SelfCleaningAlert(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last, timer = self.state.get() if self.state.exists() else (0.0, None)
+        if timer is not None and timer <= timerValues.getCurrentWatermarkInMs():
+            last = 0.0  # due, though Spark expires timers after a batch's rows
         for row in arrival(rows):
             if timer is not None:
                 self.handle.deleteTimer(timer)
@@ -298,19 +300,34 @@ class EarlyCount(StatefulProcessor):
 
 
 class UpdatingCount(StatefulProcessor):
-    """First window counts when the watermark closes a window, then an update for each late reading."""
+    """First window counts when the watermark closes a window, then an update for each late reading.
+
+    Spark drops rows behind its own watermark before they come here, so the
+    stream declares one that lags by ``slack_ms`` = size + lateness more than
+    the watermark that windows go by.
+    """
 
     OUTPUT = "id string, end_ms long, cnt long, kind string"
 
     def __init__(self, size_ms: int, lateness_ms: int):
-        self.size_ms, self.lateness_ms = size_ms, lateness_ms
+        self.size_ms, self.lateness_ms, self.slack_ms = size_ms, lateness_ms, size_ms + lateness_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.windows = handle.getMapState("windows", "end_ms long", "cnt long, fired boolean")
 
+    def _due(self, key, mark: int) -> Iterator[Row]:
+        for (end,), (n, fired) in list(self.windows.iterator()):
+            if mark >= end - 1 and not fired:
+                yield Row(id=key[0], end_ms=end, cnt=n, kind="first")
+                self.windows.updateValue((end,), (n, True))
+            if mark >= end - 1 + self.lateness_ms:
+                self.windows.removeKey((end,))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        mark = timerValues.getCurrentWatermarkInMs()
+        spark_mark = timerValues.getCurrentWatermarkInMs()
+        mark = spark_mark + self.slack_ms if spark_mark > 0 else spark_mark
+        yield from self._due(key, mark)
         for row in arrival(rows):
             end = (row["ts_ms"] // self.size_ms + 1) * self.size_ms
             if mark >= end - 1 + self.lateness_ms:
@@ -320,18 +337,12 @@ class UpdatingCount(StatefulProcessor):
             if late:
                 yield Row(id=key[0], end_ms=end, cnt=n + 1, kind="update" if fired else "first")
             else:
-                self.handle.registerTimer(end)
-            self.handle.registerTimer(end + self.lateness_ms)
+                self.handle.registerTimer(end - self.slack_ms)
+            self.handle.registerTimer(end + self.lateness_ms - self.slack_ms)
             self.windows.updateValue((end,), (n + 1, fired or late))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        for (end,), (n, fired) in list(self.windows.iterator()):
-            if end <= at and not fired:
-                yield Row(id=key[0], end_ms=end, cnt=n, kind="first")
-                self.windows.updateValue((end,), (n, True))
-            if end + self.lateness_ms <= at:
-                self.windows.removeKey((end,))
+        yield from self._due(key, expiredTimerInfo.getExpiryTimeInMs() + self.slack_ms)
 
     def close(self) -> None:
         pass
