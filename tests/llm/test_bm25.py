@@ -1,0 +1,58 @@
+import random
+
+import brute
+import numpy as np
+import pytest
+
+from tidemill.llm import bm25
+
+
+def found(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (str(r["query_id"]), r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    return out
+
+
+def check(got, want):
+    assert set(got) == {q for q, hits in want.items() if hits}
+    for q, hits in got.items():
+        assert [d for d, _ in hits] == [d for d, _ in want[q]]
+        assert [s for _, s in hits] == pytest.approx([s for _, s in want[q]])
+
+
+def test_top_k_matches_brute_force(docs, corpus, monkeypatch):
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 7)
+    pairs = [(r[0], r[1]) for r in corpus]
+    queries = [p for p in pairs if p[0] % 5 == 0]
+    got = found(bm25.search(docs, docs.filter("doc_id % 5 = 0"), 4))
+    check(got, brute.bm25(pairs, queries, 4))
+
+
+def test_shards_and_blocks_do_not_change_results(words):
+    """Pruning passes over blocks, never over a document of the top k."""
+    rng = random.Random(6)
+    pairs = [(k, " ".join(rng.choices(words[: 40 + k], k=rng.randint(1, 50)))) for k in range(700)]
+    counts = [(k, bm25.terms(t)) for k, t in pairs]
+    df, n = {}, len(pairs)
+    for _, (names, _) in counts:
+        for t in names.tolist():
+            df[t] = df.get(t, 0) + 1
+    mean = sum(int(c.sum()) for _, (_, c) in counts) / n
+    shards = [bm25.Shard(bm25.build(counts[a:b]), mean) for a, b in ((0, 1), (1, 200), (200, 700))]
+    queries = pairs[::23]
+    want = brute.bm25(pairs, queries, 10)
+    for q, text in queries:
+        names, asked = bm25.terms(text)
+        weights = asked * np.array([np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) for t in names.tolist()])
+        hits = [(d, s) for shard in shards for d, s in zip(*shard.top(names, weights, 10), strict=True)]
+        hits = sorted(hits, key=lambda h: (-round(h[1], 9), h[0]))[:10]
+        assert [d for d, _ in hits] == [d for d, _ in want[q]]
+
+
+def test_defined_cases(spark, no_docs):
+    df = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9), (None, "a b", 9), (2, None, 9), (3, "", 9), (4, "...", 9)], "doc_id long, text string, rank int")
+    got = bm25.search(df, df, 2).collect()
+    assert sorted((str(r["query_id"]), r["rank"], r["doc_id"]) for r in got) == [("1", 1, 1), ("1", 1, 1), ("1", 2, 1), ("1", 2, 1), ("None", 1, 1), ("None", 2, 1)]
+    assert bm25.search(df, no_docs).count() == 0
+    assert bm25.search(no_docs, df).count() == 0

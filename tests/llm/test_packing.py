@@ -1,0 +1,117 @@
+import functools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tidemill.llm import packing
+from tidemill.llm.tokenizer import Encoder, public
+
+BYTES = public("byte_bpe_50k.json")
+ODD = ["a  b", "a\n b", "a \n b \n\n  c", "end ", "end\n ", "\n \nfoo", "éx", "İstanbul", "don't 'S 'll", "<|endoftext|> hi", "a b", "x " * 5, "   lead", "日本 語", " \n", " ", "", '"q," said!!! 12³½ ª', "a\x1cb \x85c", "﻿x \U0001f600y"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library(corpus, name):
+    library = Tokenizer.from_file(public(name))
+    library.encode_special_tokens = True
+    texts = [r[1] or "" for r in corpus] + ODD
+    for small in (Encoder(public(name)), Encoder(public(name), 5)):
+        got = [np.frombuffer(x, "<u4").tolist() for x in small.encode(texts)]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list(" \n\tab'sZ,.!é1<|")), max_size=30))
+def test_encoder_equals_the_library_on_odd_texts(text):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = _cached(name)
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.library.encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def _cached(name):
+    return Encoder(public(name))
+
+
+def test_cut_leaves_only_the_first_piece_short():
+    assert packing.cut(1, 4) == [(0, 1)]
+    assert packing.cut(4, 4) == [(0, 4)]
+    assert packing.cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=8), st.integers(0, 60))
+def test_fill_is_the_best_subset(counts, room):
+    sums = {0}
+    for length, n in counts.items():
+        sums = {s + length * k for s in sums for k in range(n + 1) if s + length * k <= room}
+    taken = packing.fill(room, counts)
+    assert sum(k * n for k, n in taken) == max(sums)
+    assert all(n <= counts[k] for k, n in taken)
+
+
+def best_fit_decreasing(lengths, capacity=2048):
+    """How many bins plain best fit takes."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        best = min((r for r in rooms if r >= n), default=None)
+        if best is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[rooms.index(best)] -= n
+    return len(rooms)
+
+
+def test_plan_uses_each_piece_once():
+    rng = random.Random(2)
+    counts = {k: rng.randint(1, 9) for k in rng.sample(range(1, 2049), 300)}
+    rows, bins = packing.plan(counts)
+    load = np.zeros(bins, dtype=int)
+    used = dict.fromkeys(counts, 0)
+    for length, first, end, start, n, _ in sorted(rows):
+        assert first == used[length]
+        used[length] = end
+        load[start : start + (end - first) // n] += n * length
+    assert used == counts and load.max() <= 2048
+    assert bins <= best_fit_decreasing([k for k, n in counts.items() for _ in range(n)])
+
+
+def test_pack_against_the_library(docs, corpus):
+    library = Tokenizer.from_file(BYTES)
+    library.encode_special_tokens = True
+    got = packing.pack(docs, BYTES, end_id=0, with_ids=True).collect()
+    by_doc = {}
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["piece"])):
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    for k, text, *_ in corpus:
+        ids = library.encode(text or "", add_special_tokens=False).ids + [0]
+        assert [(r["start"], r["length"]) for r in by_doc[k]] == packing.cut(len(ids))
+        assert [x for r in by_doc[k] for x in r["ids"]] == ids
+        for r in by_doc[k]:
+            assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    bins = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in bins.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= best_fit_decreasing([r["length"] for r in got])
+
+
+def test_null_and_repeated_ids(spark):
+    big = (1 << 60) + 1  # would not survive a float
+    df = spark.createDataFrame([(None, "a"), (big, "a"), (big, "a"), (big, None)], "doc_id long, text string")
+    got = packing.pack(df, BYTES).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 2), (big, 1), (big, 2), (big, 2)]
+    assert sorted(r["offset"] for r in got) == [0, *np.cumsum([r["length"] for r in sorted(got, key=lambda r: r["offset"])])[:-1].tolist()]
+
+
+def test_empty_table(no_docs):
+    assert packing.pack(no_docs, BYTES).count() == 0

@@ -1,0 +1,71 @@
+import random
+
+import brute
+from pyspark.sql import functions as F
+
+from tidemill.llm import simhash
+from tidemill.llm.components import components
+
+
+def test_fingerprint_matches_the_definition(corpus):
+    for _, text, *_ in corpus:
+        assert simhash.fingerprint(text.encode() if text is not None else None) & (1 << 64) - 1 == brute.simhash(text)
+
+
+def test_every_pair_within_the_radius_meets_in_a_table():
+    masks = simhash.covering_masks()
+    assert len(masks) == 7
+    for i in range(64):
+        for j in range(64):
+            flipped = 1 << i | 1 << j
+            assert any(not flipped & m & (1 << 64) - 1 for m in masks)
+
+
+def test_classes_match_brute_force(docs, corpus):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.classes(docs).select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id").collect()}
+    assert got == brute.simhash_classes([(r[0], r[1]) for r in corpus])
+
+
+def test_links_in_buckets_of_every_kind(spark):
+    """A dense ball makes buckets beyond PAIRWISE_BUCKET; chains and pairs lie apart."""
+    rng = random.Random(1)
+    center = rng.getrandbits(64)
+    marks = {center ^ (1 << i) for i in range(64)} | {center ^ (1 << i) ^ (1 << (i + 1)) for i in range(63)} | {rng.getrandbits(64) for _ in range(50)}
+    at = rng.getrandbits(64)
+    for i in range(0, 20, 2):  # a chain whose ends are far apart
+        at ^= 3 << i
+        marks.add(at)
+    marks = sorted(m - (1 << 64) if m >> 63 else m for m in marks)
+    union = brute.Union(marks)
+    for i, a in enumerate(marks):
+        for b in marks[i + 1 :]:
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+                union.link(a, b)
+    found = simhash.links(spark.createDataFrame([(m,) for m in marks], "fp long"))
+    assert found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 2).count() == 0
+    got = {r["node"]: r["component"] for r in components(found).collect()}
+    assert {m: got.get(m, m) for m in marks} == {m: union.root(m) for m in marks}
+
+
+def test_null_ids_repeats_and_clashing_columns(spark):
+    rows = [(None, "a b c d", 1), (7, "a b c d", 2), (7, "a b c d", 2), (3, "x y z w", 3), (None, "only null", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumn("component_id", F.lit("mine"))
+    got = sorted((tuple(r) for r in simhash.classes(df).select("doc_id", "component_id").collect()), key=str)
+    assert got == sorted([(None, 7), (7, 7), (7, 7), (3, 3), (None, None)], key=str)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 7]
+
+
+def test_empty_table(no_docs):
+    assert simhash.classes(no_docs).count() == 0
+    assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_components_of_a_path_and_a_star(spark):
+    path = [(k, k + 1) for k in range(100, 160)]
+    star = [(5, k) for k in range(1000, 1200)]
+    odd = [(8, 8), (9, None), (11, 10), (11, 10)]
+    df = spark.createDataFrame(path + star + odd, "a long, b long")
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    assert got == {k: 100 for k in range(100, 161)} | {k: 5 for k in [5, *range(1000, 1200)]} | {10: 10, 11: 10}
