@@ -20,8 +20,8 @@ from array import array
 
 import regex
 
-#: Pieces, and pre-tokens, that one Python worker remembers before it forgets those not used since.
-REMEMBERED = 250_000
+#: Pieces and pre-tokens that one Python worker remembers before it forgets those not used since.
+REMEMBERED = 600_000
 #: The splitting pattern of the byte tokenizer, whose file names it only by its kind.  Fixed value.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -77,22 +77,34 @@ class Encoder:
         self.byte = not norms and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.split = regex.compile(inner[0]["pattern"]["Regex"] if self.lower else BYTE_PATTERN).findall
         self.letters = _byte_letters()
+        self.library.model._resize_cache(0)  # what it would remember is remembered here
         self.tokenize = self.library.model.tokenize
-        self.pretokens = _Recent(remembered, self._merge)
-        self.pieces = _Recent(remembered, self._piece)
+        self.known = _Recent(remembered, self._find)
 
     def _merge(self, pretoken: str) -> bytes:
-        spelled = pretoken.encode().decode("latin-1").translate(self.letters)
+        if pretoken.isascii() and pretoken.isprintable():
+            spelled = pretoken.replace(" ", self.letters[0x20])
+        else:
+            spelled = pretoken.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join([self.pretokens[x] for x in self.split(piece)])
+    def _find(self, piece: str) -> bytes:
+        """A word, and a word with one sign behind it, need no pattern to be split."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha():
+            return self._merge(piece)
+        if body[-1:] in ".,;:!?" and body[:-1].isalpha():
+            return self.known[piece[:-1]] + self.known[piece[-1]]
+        parts = self.split(piece)
+        return self._merge(piece) if parts == [piece] else b"".join([self.known[x] for x in parts])
 
     def _cut(self, text: str) -> list[str] | None:
         if not (self.lower or self.byte) or _PLAIN.fullmatch(text) is None or "<|" in text:
             return None
         if self.lower:
             return text.lower().split()
+        if not text:
+            return []
         if "  " in text or _RUN.search(text):
             return None
         first, *rest = text.split(" ")
@@ -105,10 +117,9 @@ class Encoder:
             if cut is None:
                 out.append(array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes())
             else:
-                known = self.pieces
+                known = self.known
                 out.append(b"".join([known[x] for x in cut]))
                 known.trim()
-                self.pretokens.trim()
         return out
 
 
