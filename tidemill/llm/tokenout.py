@@ -69,11 +69,17 @@ def read_frame(data, at: int = 0) -> tuple[int | None, np.ndarray, int]:
     return None if null else doc_id, np.frombuffer(payload, dtype=f"<u{width}", offset=10), at + 12 + n + 5
 
 
+def _shards(docs: DataFrame) -> int:
+    """By the size that Spark estimates; by rows where it knows none."""
+    size = estimated_bytes(docs)
+    return max(1, -(-size // SHARD_BYTES) if size < 1 << 60 else docs.count() // 2000)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
     """Write ``path/data`` and ``path/index``.  One shuffle, of the texts."""
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or max(1, -(-estimated_bytes(docs) // SHARD_BYTES))
+    shards = shards or _shards(docs)
     ordered = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         .repartitionByRange(shards, "doc_id")
