@@ -28,7 +28,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, word_count
@@ -134,16 +134,23 @@ def balance(units: DataFrame) -> DataFrame:
     return out
 
 
+def unit_key(doc_id: Column, text: Column, source: Column) -> Column:
+    """Names a row by its id, source and text; texts by 64 bits beside the id."""
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    nulls = F.concat(*[c.isNull().cast("int").cast("string") for c in (doc_id, text, source)])
+    return F.concat_ws("|", nulls, known(doc_id), F.hex(F.xxhash64(text)), known(source))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row for each distinct (doc_id, source, text): size, n, copies, source_size, target.
+    """One row for each distinct (doc_id, source, text): unit, size, n, copies, source_size, target.
 
     ``n`` is how many rows of ``docs`` are that unit and ``copies`` how often
     the mix takes it in all, at most ``most`` times ``n``.  Sources are ranked
     and their targets worked out from one row for each source on the driver:
     sources are the named parts of a mix, and over 100,000 are refused.
     """
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).isNull().alias("text_null"), word_count(F.col(text)).alias("size"))
-    units = checkpoint(keyed.groupBy("doc_id", "source", "text_hash", "text_null").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), unit_key(F.col(doc_id), F.col(text), F.col(source)).alias("unit"), word_count(F.col(text)).alias("size"))
+    units = checkpoint(keyed.groupBy("unit").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
     rows = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).orderBy(F.col("source").asc_nulls_last()).limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("over 100,000 sources: mix by a coarser column")
@@ -155,14 +162,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         "source string, source_no int, source_size long, target double, rate double",
     )
     told = told.withColumnRenamed("source", "__s")
-    unit = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("source_no").cast("string"), F.hex("text_hash"), F.col("text_null").cast("string"))
-    known = units.join(F.broadcast(told), units["source"].eqNullSafe(told["__s"])).drop("__s").withColumn("unit", unit)
+    known = units.join(F.broadcast(told), units["source"].eqNullSafe(told["__s"])).drop("__s")
     known = known.withColumn("wanted", F.col("rate") * F.col("n")).withColumn("sure", F.floor(F.col("wanted") + EPS).cast("long")).withColumn("p", F.greatest(F.lit(0.0), F.col("wanted") - F.col("sure")))
     known = known.withColumn("h", F.xxhash64("unit"))
     undecided = known.filter(F.col("p") > EPS).select("source_no", "unit", "h", F.col("size"), "p")
     chosen = balance(undecided).withColumnRenamed("p", "extra")
     out = known.join(chosen, "unit", "left").withColumn("copies", F.col("sure") + F.coalesce(F.col("extra"), F.lit(0.0)).cast("long"))
-    return out.select("doc_id", "source", "text_hash", "text_null", "size", "n", "copies", "source_size", "target")
+    return out.select("unit", "doc_id", "source", "size", "n", "copies", "source_size", "target")
 
 
 def mixed_rows(units: DataFrame) -> DataFrame:
@@ -174,8 +180,6 @@ def mixed_rows(units: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them; columns are those of ``docs``."""
-    units = mix(docs, doc_id=doc_id, text=text, source=source, **how).filter("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("text_hash").alias("__h"), F.col("text_null").alias("__z"), F.col("copies").alias("__copies"))
-    keyed = docs.withColumns({"__h": F.xxhash64(F.col(text)), "__z": F.col(text).isNull()}).dropDuplicates([doc_id, source, "__h", "__z"]).withColumnsRenamed({"__h": "__kh", "__z": "__kz"})
-    on = F.col("__kh") == F.col("__h")
-    on &= (F.col("__kz") == F.col("__z")) & keyed[doc_id].eqNullSafe(F.col("__d")) & keyed[source].eqNullSafe(F.col("__s"))
-    return keyed.join(units, on).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[keyed[c] for c in docs.columns])
+    units = mix(docs, doc_id=doc_id, text=text, source=source, **how).filter("copies > 0").select(F.col("unit").alias("__unit"), F.col("copies").alias("__copies"))
+    one_each = docs.withColumn("__unit", unit_key(F.col(doc_id), F.col(text), F.col(source))).dropDuplicates(["__unit"])
+    return one_each.join(units, "__unit").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
