@@ -43,8 +43,8 @@ from .common import checkpoint, small_batches
 
 K1, B = 1.2, 0.75
 TOP = 10
-SHARD_DOCS = 16_384
-SHARD_CHARS = 48 << 20
+SHARD_DOCS = 8192
+SHARD_CHARS = 32 << 20
 BLOCK = 64
 #: Queries that one task scores against one shard.
 QUERY_BLOCK = 4096
@@ -57,26 +57,36 @@ SLACK = 1e-9
 _WORD = re.compile(r"[^\W_]+").findall
 
 
-def terms(text: str | None) -> Counter[int]:
+Terms = tuple[np.ndarray, np.ndarray]
+
+
+def terms(text: str | None) -> Terms:
+    """(names, counts), names ascending; packed, as a task holds those of a whole shard."""
     words = Counter(_WORD(text.lower())) if text else Counter()
     digest = xxhash.xxh64_intdigest
-    return Counter({digest(w.encode()): n for w, n in words.items()})
+    names = np.fromiter((digest(w.encode()) for w in words), dtype="<u8", count=len(words))
+    order = np.argsort(names)
+    return names[order], np.fromiter(words.values(), dtype="<i4", count=len(words))[order]
+
+
+def _commonest(t: Terms) -> int:
+    return int(t[0][t[1].argmax()]) if len(t[0]) else 0
 
 
-def build(docs: list[tuple[int | None, Counter[int]]]) -> dict:
+def build(docs: list[tuple[int | None, Terms]]) -> dict:
     """One shard.  Documents alike in their commonest term stand together, which tightens block maxima."""
-    docs = sorted(docs, key=lambda d: (max(d[1], key=lambda t: (d[1][t], t), default=0), d[0] is None, d[0] or 0, sum(d[1].values())))
-    slot = np.repeat(np.arange(len(docs)), [len(t) for _, t in docs])
-    term = np.array([t for _, ts in docs for t in ts], dtype="<u8")
-    tf = np.array([n for _, ts in docs for n in ts.values()], dtype="<i4")
-    order = np.lexsort((slot, term))
+    docs = sorted(docs, key=lambda d: (_commonest(d[1]), d[0] is None, d[0] or 0, int(d[1][1].sum())))
+    slot = np.repeat(np.arange(len(docs), dtype="<u2"), [len(t[0]) for _, t in docs])
+    term = np.concatenate([np.zeros(0, "<u8"), *(t[0] for _, t in docs)])
+    tf = np.concatenate([np.zeros(0, "<i4"), *(t[1] for _, t in docs)])
+    order = np.argsort(term, kind="stable")  # slots ascend already
     names, starts = np.unique(term[order], return_index=True)
     return {
         "ids": np.array([NO_ID if k is None else k for k, _ in docs], dtype="<i8").tobytes(),
-        "lengths": np.array([sum(t.values()) for _, t in docs], dtype="<i8").tobytes(),
+        "lengths": np.array([int(t[1].sum()) for _, t in docs], dtype="<i8").tobytes(),
         "terms": names.astype("<u8").tobytes(),
         "starts": starts.astype("<i4").tobytes(),
-        "slots": slot[order].astype("<u2").tobytes(),
+        "slots": slot[order].tobytes(),
         "tf": tf[order].tobytes(),
     }
 
@@ -85,7 +95,7 @@ SHARD = ("ids", "lengths", "terms", "starts", "slots", "tf")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs: list[tuple[int | None, Counter[int]]] = []
+    docs: list[tuple[int | None, Terms]] = []
     chars = 0
 
     def out() -> pa.RecordBatch:
@@ -115,11 +125,11 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         q, t, n = [], [], []
         for k, text in zip(b["query"].to_pylist(), b["text"].to_pylist(), strict=True):
-            found = terms(text)
-            q += [k] * len(found)
-            t += found.keys()
-            n += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.array(t, dtype="<u8").view("<i8")), pa.array(n, pa.int64())], ["query", "term", "n"])
+            names, counts = terms(text)
+            q.append(np.full(len(names), k, dtype=np.int64))
+            t.append(names.view("<i8"))
+            n.append(counts.astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (q, t, n)], ["query", "term", "n"])
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
