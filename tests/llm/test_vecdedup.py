@@ -40,7 +40,7 @@ def test_links_match_brute_force(spark):
 def test_defined_cases(spark):
     v, w = [1.0, 2.0], [2.0, 4.0]
     rows = [(1, v, 1), (2, w, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [1.0, math.inf], 1), (9, [math.nan, 1.0], 1), (10, [], 1), (11, [1.0, 2.0, 0.0], 1), (12, v, 1), (12, v, 1), (None, v, 1), (13, [1e-30, 2e-30], 1), (14, [-0.0, 0.0], 1)]
-    df = spark.createDataFrame(rows, SCHEMA + ", kept string" if False else SCHEMA).selectExpr("*", "'x' AS component_id", "'y' AS h1")
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' AS component_id", "'y' AS h1")
     got = vecdedup.near_duplicates(df)
     assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
     told = sorted((tuple(r) for r in got.collect()), key=str)
@@ -64,3 +64,21 @@ def test_forest_spans_what_is_linked():
     for i, j in out:
         b.link(i, j)
     assert len(out) < 30 and all(a.root(x) == b.root(x) for x in range(30))
+
+
+def test_passes_grow_with_the_logarithm_of_the_input():
+    assert vecdedup.passes_for(0) == vecdedup.passes_for(5000) == vecdedup.PASSES
+    assert vecdedup.PASSES < vecdedup.passes_for(10**7) < vecdedup.passes_for(10**9) < 100
+
+
+def test_a_core_is_counted_without_comparing_it(spark):
+    """300 vectors within the core, and some that link with only part of it."""
+    rng = np.random.default_rng(2)
+    center = np.array([1.0] + [0.0] * 15)
+    near = center + rng.normal(size=(300, 16)) * 0.02
+    rim = center + rng.normal(size=(150, 16)) * 0.11
+    rows = [(k, [float(x) for x in v.astype("f4")], 1) for k, v in enumerate(np.vstack([near, rim]))]
+    want = brute.cosine_links(rows)
+    assert 0 < sum(n < 449 for n, _ in want.values())
+    got = found(vecdedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    assert np.mean([got[k] == want[k] for k in want]) > 0.98

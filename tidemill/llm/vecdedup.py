@@ -7,9 +7,12 @@ compared, in double precision, with its neighbours of a bounded window.  What
 a window finds is reduced to a spanning forest of it, so a window sends on
 fewer links than it has vectors.  Links of all passes make components.
 
-Within a component every pair is then compared in square blocks, which yield
-numbers of links, not pairs: a component of any size sends each vector once
-for each block of the component, and no task holds more than two blocks.
+Numbers of links are then counted within components, exactly and without
+listing pairs.  Vectors within half the threshold's angle of their component's
+mean are its core: by the triangle inequality any two of them are linked, so a
+group of near copies of any size is counted by one sum.  The others are
+compared with every vector of their component in square blocks, which yield
+counts; no task holds more than two blocks.
 
 Equal vectors of one label meet before the passes and count as often as they
 stand there.
@@ -27,21 +30,33 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 from .components import components
 
 THRESHOLD = 0.93
-PASSES = 12
+#: Passes made at least, and the share of pairs at the threshold itself that passes are meant to bring together.
+PASSES, RECALL = 12, 0.95
 #: A vector is compared with at least this many neighbours before it in a pass.
 WINDOW = 256
 BITS = 48
-#: Vectors of a square block within a component.
+#: Vectors of a square block.
 BLOCK = 128
 
 
+def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD) -> int:
+    """Passes for ``n`` vectors of one label.
+
+    A window holds what shares the first log2(n / window) bits; two vectors
+    share a bit with the odds that a plane doesn't fall between them.
+    """
+    bits = max(0.0, np.log2(max(1, n) / window))
+    together = (1 - np.arccos(threshold) / np.pi) ** bits
+    return PASSES if together >= 1 else max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - together))))
+
+
 def _normal(batch: list) -> np.ndarray:
     x = np.array([np.asarray(v, dtype=np.float64) for v in batch])
     x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -103,19 +118,53 @@ def _window(threshold: float):
 
 
 def _degrees(threshold: float):
+    """Links across two blocks (``side`` false and true), or within one where all sides are false."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n = _normal(pdf["v"].tolist()), pdf["n"].to_numpy(np.int64)
-        side = pdf["chunk"].to_numpy() == pdf["i"].to_numpy()
+        x, n, side = _normal(pdf["v"].tolist()), pdf["n"].to_numpy(np.int64), pdf["side"].to_numpy(bool)
         linked = x @ x.T >= threshold
         np.fill_diagonal(linked, False)
-        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:  # two blocks: only what crosses
+        if not pdf["within"].iloc[0]:
             linked &= side[:, None] != side[None, :]
         return pd.DataFrame({"unit": pdf["unit"], "links": linked @ n})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, seed: int = 5) -> DataFrame:
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _count_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(unit, links) for members (component, unit, v, n) of components."""
+    members = members.withColumn("most", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.col("most"))).drop("most")
+    members = checkpoint(members.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v")))))
+    sums = members.select("component", "norm", F.posexplode("v").alias("k", "x")).groupBy("component", "k").agg(F.avg(F.col("x") / F.col("norm")).alias("x"))
+    means = checkpoint(sums.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("m")).select("component", F.col("m.x").alias("mean")))
+    half = float(np.cos(np.arccos(threshold) / 2)) + 1e-9
+    core = _dot(F.col("v"), F.col("mean")) >= half * F.col("norm") * F.sqrt(_dot(F.col("mean"), F.col("mean")))
+    placed = checkpoint(members.join(means, "component").select("component", "unit", "v", "n", core.alias("core")))
+    sizes = checkpoint(
+        placed.groupBy("component").agg(F.coalesce(F.sum(F.when(F.col("core"), F.col("n"))), F.lit(0)).alias("core_n"), F.count_if(F.col("core")).alias("n_core"), F.count_if(~F.col("core")).alias("n_rest"))
+    )
+    known = placed.join(sizes, "component")
+    within_core = known.filter("core").select("unit", (F.col("core_n") - F.col("n")).alias("links"))
+    blocks = {c: F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_core", "n_rest")}
+    spread = lambda n: F.pmod(F.xxhash64("unit", F.lit(3)), n).cast("int")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    some = known.filter("n_rest > 0")
+    task = lambda i, j, kind, side, within: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), side.alias("side"), within.alias("within"))
+    no, yes, own = F.lit(False), F.lit(True), spread(blocks["n_rest"])
+    rest = some.filter("not core")
+    rest_rest = rest.withColumn("t", F.explode(F.transform(each(blocks["n_rest"]), lambda k: task(F.least(k, own), F.greatest(k, own), "rest", own > k, k == own))))
+    rest_core = rest.filter("n_core > 0").withColumn("t", F.explode(F.transform(each(blocks["n_core"]), lambda k: task(own, k, "core", no, no))))
+    core_rest = some.filter("core").withColumn("t", F.explode(F.transform(each(blocks["n_rest"]), lambda k: task(k, spread(blocks["n_core"]), "core", yes, no))))
+    squares = rest_rest.unionByName(rest_core).unionByName(core_rest).select("component", "t.*", "unit", "v", "n")
+    across = squares.groupBy("component", "i", "j", "kind").applyInPandas(_degrees(threshold), "unit long, links long")
+    return within_core.unionByName(across).groupBy("unit").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, seed: int = 5) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
@@ -126,6 +175,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = checkpoint(vectors.select(F.col(vec_id).alias("vec_id"), *marks))
     known = vectors.select(F.col(vec_id).alias("vec_id"), F.xxhash64(F.col(label).cast("string"), F.size(v)).alias("group"), v.cast("array<double>").alias("v"), *marks).filter("h1 is not null")
     units = checkpoint(known.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("group").alias("group"), F.first("v").alias("v")).withColumn("unit", F.monotonically_increasing_id()))
+    if passes is None:
+        largest = units.groupBy("group").count().agg(F.max("count").alias("n")).first()["n"]
+        passes = passes_for(largest or 0, window, threshold)
 
     codes = units.select("unit", "h1", "group", "v").mapInArrow(_codes(passes, seed), "nth int, group long, code long, h1 long, unit long")
     order = ["nth", "group", "code", "h1", "unit"]
@@ -140,12 +192,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = placed.join(units.select("unit", "v"), "unit").groupBy("block").applyInPandas(_window(threshold), "a long, b long")
     classes = checkpoint(components(found))
 
-    sized = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    members = classes.join(sized, "component").withColumn("chunks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    chunked = members.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j"))))
-    squares = chunked.withColumn("p", pairs).select("component", "chunk", F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("node").alias("unit")).join(units.select("unit", "v", "n"), "unit")
-    degrees = squares.groupBy("component", "i", "j").applyInPandas(_degrees(threshold), "unit long, links long").groupBy("unit").agg(F.sum("links").alias("links"))
+    members = classes.withColumnRenamed("node", "unit").join(units.select("unit", "v", "n"), "unit")
+    degrees = _count_links(members, threshold)
     named = units.select("unit", "h1", "h2", "rep", "n").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     told = named.join(lowest, "component").join(degrees, "unit", "left").select("h1", "h2", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
