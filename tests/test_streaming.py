@@ -11,9 +11,9 @@ from test_goldens import ARRIVALS, table
 
 from tidemill.functions.expressions import iso_time, millis
 from tidemill.model import readings
-from tidemill.operators import control, rolling, windows
+from tidemill.operators import control, late, rolling, windows
 from tidemill.sources import generators, jdbc
-from tidemill.streaming import jobs, processors, sinks
+from tidemill.streaming import jobs, live, processors, sinks
 
 
 def drain(df, folder, mode="append", **options):
@@ -42,50 +42,50 @@ def some(spark, sf_dir):
 
 
 def test_window_stream_equals_table(spark, some, tmp_path):
-    live = windows.average(stream(spark, some, tmp_path).withWatermark("ts", "5 hours"), "1 hour")
-    assert same(drain(live, tmp_path, "complete"), windows.average(some, "1 hour"))
+    running = windows.average(stream(spark, some, tmp_path).withWatermark("ts", "5 hours"), "1 hour")
+    assert same(drain(running, tmp_path, "complete"), windows.average(some, "1 hour"))
 
 
 def test_change_alert_stream_equals_table(spark, some, tmp_path):
-    live = stateful(stream(spark, some, tmp_path), "id", processors.ChangeAlert(1.7))
-    assert same(drain(live, tmp_path), rolling.change_alerts(some, 1.7))
+    running = stateful(stream(spark, some, tmp_path), "id", processors.ChangeAlert(1.7))
+    assert same(drain(running, tmp_path), rolling.change_alerts(some, 1.7))
 
 
 def test_rolling_streams_equal_tables(spark, some, tmp_path):
-    live = stateful(stream(spark, some, tmp_path), "id", processors.RollingMax())
-    assert same(drain(live, tmp_path), rolling.rolling_max(some))
+    running = stateful(stream(spark, some, tmp_path), "id", processors.RollingMax())
+    assert same(drain(running, tmp_path), rolling.rolling_max(some))
     cents = some.withColumn("value", F.floor(F.col("temperature") * 100).cast("long"))
-    live = stateful(stream(spark, cents, tmp_path), "user_id", processors.RollingSum())
-    assert same(drain(live, tmp_path), rolling.rolling_sum(cents, "user_id", "value", "event_type", "event_id"))
+    running = stateful(stream(spark, cents, tmp_path), "user_id", processors.RollingSum())
+    assert same(drain(running, tmp_path), rolling.rolling_sum(cents, "user_id", "value", "event_type", "event_id"))
 
 
 def test_counters_stream_equals_table(spark, some, tmp_path):
     bucketed = some.withColumn("bucket", rolling.bucket("user_id", 4))
-    live = stateful(stream(spark, bucketed, tmp_path), "bucket", processors.HighCount(120.0))
-    assert same(drain(live, tmp_path), rolling.high_counts_per_bucket(some))
-    live = stateful(stream(spark, bucketed, tmp_path), "bucket", processors.HighCounts(10.0))
-    assert same(drain(live, tmp_path), rolling.high_counts(some))
+    running = stateful(stream(spark, bucketed, tmp_path), "bucket", processors.HighCount(120.0))
+    assert same(drain(running, tmp_path), rolling.high_counts_per_bucket(some))
+    running = stateful(stream(spark, bucketed, tmp_path), "bucket", processors.HighCounts(10.0))
+    assert same(drain(running, tmp_path), rolling.high_counts(some))
 
 
 def test_two_input_streams_equal_tables(spark, some, tmp_path):
     is_switch = F.col("event_type") == "signup"
     both = processors.tagged(some.filter(~is_switch), some.filter(is_switch).withColumn("duration_ms", F.lit(36_000_000).cast("long")))
-    live = stateful(stream(spark, both, tmp_path), "id", processors.SwitchFilter())
-    assert same(drain(live, tmp_path), control.switched(some, is_switch, 36_000_000).select("event_id", "id", "temperature"))
+    running = stateful(stream(spark, both, tmp_path), "id", processors.SwitchFilter())
+    assert same(drain(running, tmp_path), control.switched(some, is_switch, 36_000_000).select("event_id", "id", "temperature"))
 
     level = F.when(F.col("event_type") == "error", "High").when(is_switch, "Low")
     marked = some.withColumn("level", level)
     data = marked.filter("level is null").withColumn("bucket", rolling.bucket("user_id", 2))
     both = processors.tagged(data, processors.replicated(marked.filter("level is not null"), 2))
-    live = stateful(stream(spark, both, tmp_path), "bucket", processors.FireAlert())
-    assert same(drain(live, tmp_path), control.fire_alerts(some, level))
+    running = stateful(stream(spark, both, tmp_path), "bucket", processors.FireAlert())
+    assert same(drain(running, tmp_path), control.fire_alerts(some, level))
 
 
 def test_threshold_stream(spark, tmp_path):
     data = table(spark, [("s_1", 1, 50), ("s_1", 2, 50.5), ("s_1", 3, 52), ("s_3", 4, 9)]).withColumn("event_id", F.col("event_id") + 10)
     updates = spark.createDataFrame([(0, "s_1", 1.2), (1, "s_3", 0.5), (2, "s_3", 0.0)], "event_id long, id string, threshold double")
-    live = stateful(stream(spark, processors.tagged(data, updates), tmp_path), "id", processors.ThresholdAlert())
-    assert sorted((r["id"], r["diff"]) for r in drain(live, tmp_path).collect()) == [("s_1", 1.5), ("s_1", 50.0)]
+    running = stateful(stream(spark, processors.tagged(data, updates), tmp_path), "id", processors.ThresholdAlert())
+    assert sorted((r["id"], r["diff"]) for r in drain(running, tmp_path).collect()) == [("s_1", 1.5), ("s_1", 50.0)]
 
 
 BASE = 1000  # seconds; Spark's watermark starts at the epoch, and what lies there would be late
@@ -98,27 +98,27 @@ def one_by_one(spark, rows, tmp_path, delay):
 
 
 def test_self_cleaning_stream(spark, tmp_path):
-    live = one_by_one(spark, [("a", 0, 70), ("a", 10, 71), ("b", 3700, 1), ("a", 3701, 71)], tmp_path, "5 seconds")
-    got = drain(stateful(live, "id", processors.SelfCleaningAlert(1.5, 3_600_000), "EventTime"), tmp_path)
+    running = one_by_one(spark, [("a", 0, 70), ("a", 10, 71), ("b", 3700, 1), ("a", 3701, 71)], tmp_path, "5 seconds")
+    got = drain(stateful(running, "id", processors.SelfCleaningAlert(1.5, 3_600_000), "EventTime"), tmp_path)
     assert sorted((r["id"], r["temperature"], r["diff"]) for r in got.collect()) == [("a", 70.0, 70.0), ("a", 71.0, 71.0)]
 
 
 def test_increase_stream(spark, tmp_path):
-    live = one_by_one(spark, [("s", 0, 10), ("s", 0.1, 11), ("s", 0.6, 12), ("s", 1.2, 13), ("s", 1.3, 12), ("z", 9, 1)], tmp_path, "0 seconds")
-    got = drain(stateful(live, "id", processors.IncreaseAlert(1000), "EventTime"), tmp_path)
+    running = one_by_one(spark, [("s", 0, 10), ("s", 0.1, 11), ("s", 0.6, 12), ("s", 1.2, 13), ("s", 1.3, 12), ("z", 9, 1)], tmp_path, "0 seconds")
+    got = drain(stateful(running, "id", processors.IncreaseAlert(1000), "EventTime"), tmp_path)
     assert [(r["id"], r["fired_ms"] - 1000 * BASE) for r in got.collect()] == [("s", 1100)]
 
 
 def test_updating_window_stream(spark, tmp_path):
-    live = one_by_one(spark, [*ARRIVALS, ("z", 100, 0), ("z", 200, 0)], tmp_path, "20 seconds")
-    got = drain(stateful(live, "id", processors.UpdatingCount(10_000, 5000), "EventTime"), tmp_path)
+    running = one_by_one(spark, [*ARRIVALS, ("z", 100, 0), ("z", 200, 0)], tmp_path, "20 seconds")
+    got = drain(stateful(running, "id", processors.UpdatingCount(10_000, 5000), "EventTime"), tmp_path)
     found = sorted((r["end_ms"] - 1000 * BASE, r["cnt"], r["kind"]) for r in got.collect() if r["id"] == "s")
     assert found == [(10000, 2, "first"), (10000, 3, "update"), (20000, 3, "first"), (40000, 1, "first")]
 
 
 def test_early_window_stream(spark, tmp_path):
-    live = one_by_one(spark, [("s", 1, 0), ("s", 2, 0), ("s", 3, 0), ("z", 20, 0), ("z", 40, 0)], tmp_path, "0 seconds")
-    got = drain(stateful(live, "id", processors.EarlyCount(10_000, 1000), "EventTime"), tmp_path)
+    running = one_by_one(spark, [("s", 1, 0), ("s", 2, 0), ("s", 3, 0), ("z", 20, 0), ("z", 40, 0)], tmp_path, "0 seconds")
+    got = drain(stateful(running, "id", processors.EarlyCount(10_000, 1000), "EventTime"), tmp_path)
     found = sorted((r["end_ms"] - 1000 * BASE, r["eval_ms"] - 1000 * BASE, r["cnt"]) for r in got.collect() if r["id"] == "s")
     assert (10000, 10000, 3) in found and len([x for x in found if x[1] == 10000]) == 1
 
@@ -212,9 +212,48 @@ def test_upsert_sink(spark, tmp_path):
 
 
 def test_lookup_of_live_results(spark, some, tmp_path):
-    live = stream(spark, some, tmp_path).groupBy("id").agg(F.max("temperature").alias("m"))
+    running = stream(spark, some, tmp_path).groupBy("id").agg(F.max("temperature").alias("m"))
     name = f"t{uuid.uuid4().hex}"
-    live.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{tmp_path}/look").trigger(availableNow=True).start().awaitTermination()
+    running.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{tmp_path}/look").trigger(availableNow=True).start().awaitTermination()
     got = sinks.lookup(spark, f"{tmp_path}/look", ["sensor_1"]).collect()
     want = some.filter("id = 'sensor_1'").agg(F.max("temperature")).first()[0]
     assert [r["value"]["max"] if "max" in r["value"] else r["value"][0] for r in got] == [want]
+
+
+def test_late_split_is_exact_across_batches_and_restarts(spark, tmp_path):
+    df = table(spark, [(r[0], r[1] + BASE, *r[2:]) for r in ARRIVALS])
+    want = [sorted(r["event_id"] for r in part.collect()) for part in late.split_late(df, 5000)]
+    fail, got = jobs.FailOnce(2), ({}, {})
+
+    def keep(into):
+        return lambda part, batch_id: into.__setitem__(batch_id, [r["event_id"] for r in part.collect()])
+
+    split = live.LateSplit(f"{tmp_path}/seen", 5000, keep(got[0]), keep(got[1]))
+
+    def batch(part, batch_id):
+        split(part, batch_id)
+        fail(batch_id)
+
+    assert jobs.run_to_end(stream(spark, df, tmp_path, files=4).writeStream.foreachBatch(batch).option("checkpointLocation", f"{tmp_path}/c")) == 1
+    assert [sorted(x for rows in side.values() for x in rows) for side in got] == want
+
+
+def test_dashboard_and_pollers(spark):
+    shown = []
+    board = live.dashboard(lambda: {"sensor_1": 1.0, "sensor_3": 2.34567}, ["sensor_1", "sensor_2", "sensor_3"], shown.append, 0.01)
+    board.start()
+    while not shown:
+        time.sleep(0.01)
+    board.stop()
+    assert shown[0] == "1.000\t| -\t| 2.346"
+
+    url = jdbc.memory_url(f"u{uuid.uuid4().hex[:8]}")
+    jdbc.execute(spark, url, "CREATE TABLE locations (sensor VARCHAR(16) PRIMARY KEY, room VARCHAR(16))")
+    jdbc.insert(spark, url, "INSERT INTO locations VALUES (?, ?)", [("sensor_1", "room_1")])
+    writer = jdbc.updater(spark, url, "UPDATE locations SET room = ? WHERE sensor = ?", lambda rng: (f"room_{rng.randint(10, 20)}", "sensor_1"), 0.01)
+    writer.start()
+    deadline = time.time() + 30
+    while jdbc.lines(jdbc.read(spark, url, "locations")) == ["sensor_1, room_1"] and time.time() < deadline:
+        time.sleep(0.05)
+    writer.stop()
+    assert jdbc.lines(jdbc.read(spark, url, "locations"))[0].startswith("sensor_1, room_1") and jdbc.lines(jdbc.read(spark, url, "locations")) != ["sensor_1, room_1"]

@@ -15,9 +15,11 @@ from ..model import HOUR_MS
 from .scan import running
 
 
-def with_watermark_before(readings: DataFrame, delay_ms: int, order: str = "event_id") -> DataFrame:
-    """Adds ``wm_ms``, null before the first row."""
+def with_watermark_before(readings: DataFrame, delay_ms: int, order: str = "event_id", seen_ms: int | None = None) -> DataFrame:
+    """Adds ``wm_ms``, null before the first row.  ``seen_ms``: the greatest time of rows before this table's."""
     seen = running(readings, order, {"__most": ("max", millis(F.col("ts")))}, inclusive=False)
+    if seen_ms is not None:
+        seen = seen.withColumn("__most", F.greatest("__most", F.lit(seen_ms)))
     return seen.withColumn("wm_ms", F.col("__most") - delay_ms).drop("__most")
 
 
@@ -32,9 +34,9 @@ def punctuated_watermark(readings: DataFrame, bound_ms: int, sensor: str = "sens
     return readings.filter(F.col("id") == sensor).select(order, (millis(F.col("ts")) - bound_ms).alias("wm_ms"))
 
 
-def split_late(readings: DataFrame, delay_ms: int, order: str = "event_id") -> tuple[DataFrame, DataFrame]:
+def split_late(readings: DataFrame, delay_ms: int, order: str = "event_id", seen_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(on time, late): a reading is late if its time is below the watermark."""
-    known = with_watermark_before(readings, delay_ms, order)
+    known = with_watermark_before(readings, delay_ms, order, seen_ms)
     late = F.coalesce(millis(F.col("ts")) < F.col("wm_ms"), F.lit(False))
     return known.filter(~late), known.filter(late).withColumn("message", late_message(F.col("id")))
 
