@@ -45,9 +45,13 @@ def test_shards_and_blocks_do_not_change_results(words):
     for q, text in queries:
         names, asked = bm25.terms(text)
         weights = asked * np.array([np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) for t in names.tolist()])
-        hits = [(d, s) for shard in shards for d, s in zip(*shard.top(names, weights, 10), strict=True)]
-        hits = sorted(hits, key=lambda h: (-round(h[1], 9), h[0]))[:10]
-        assert [d for d, _ in hits] == [d for d, _ in want[q]]
+        for carried in (False, True):
+            hits, least = [], 0.0
+            for shard in shards:
+                hits += zip(*shard.top(names, weights, 10, least), strict=True)
+                hits = sorted(hits, key=lambda h: (-round(h[1], 9), h[0]))[:10]
+                least = hits[9][1] if carried and len(hits) == 10 else 0.0
+            assert [d for d, _ in hits] == [d for d, _ in want[q]]
 
 
 def test_defined_cases(spark, no_docs):

@@ -10,11 +10,14 @@ contribution to a score in each block it occurs in.  A query sums those to an
 upper bound for each block, scores the documents of the most promising blocks,
 and from then on only blocks whose bound reaches its k-th best score: the
 pruning rule of block-max WAND, applied to all blocks of a shard at once
-instead of cursor by cursor.  No document that belongs to a shard's top k is
-passed over, so merging the shards' lists gives the exact top k.
+instead of cursor by cursor.  No document that belongs to the top k is passed
+over, so merging lists gives the exact top k.
 
-Queries meet shards in blocks: each block of up to QUERY_BLOCK queries is sent
-to every shard, and a task holds one shard and one block.
+A task holds one block of up to QUERY_BLOCK queries, packed, and lets the
+shards of one group pass by, one at a time; a query's k-th best score so far
+goes with it from shard to shard.  There are as many groups and blocks as keep
+the cluster busy: fewer groups mean fewer copies of the queries and fewer
+partial results.
 
 Terms are runs of letters and digits, lower-cased, named by 64-bit hashes.  A
 term that a query repeats counts as often.  Documents of one score are ordered
@@ -32,7 +35,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -46,8 +48,10 @@ TOP = 10
 SHARD_DOCS = 8192
 SHARD_CHARS = 32 << 20
 BLOCK = 64
-#: Queries that one task scores against one shard.
-QUERY_BLOCK = 4096
+#: Queries that one task holds; about 5 kB each.
+QUERY_BLOCK = 16_384
+#: Tasks for each core, so that uneven ones even out.
+TASKS_A_CORE = 2
 #: Blocks scored before any is passed over.
 FIRST_BLOCKS = 8
 NO_ID = -(1 << 63)
@@ -158,33 +162,31 @@ class Shard:
         self.entries = np.searchsorted(entry, starts)
         self.n_blocks = len(self.ids) // BLOCK + 1
 
-    def top(self, names: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best documents, best first."""
+    def top(self, names: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best documents, best first, unless below ``least``."""
         at = np.searchsorted(self.terms, names)
         known = at < len(self.terms)
         known[known] = self.terms[at[known]] == names[known]
         at, weights = at[known], weights[known]
-        empty = np.zeros(0, dtype=np.int64), np.zeros(0)
-        if not len(at):
-            return empty
         first, last = self.entries[at], self.entries[at + 1]
         entry, weight = _ranges(first, last), np.repeat(weights, last - first)
         block = self.block[entry]
         bound = np.bincount(block, self.most[entry] * weight, self.n_blocks)
-        promising = np.argpartition(-bound, min(FIRST_BLOCKS, self.n_blocks - 1))[:FIRST_BLOCKS]
+        promising = np.flatnonzero((bound > 0) & (bound >= least - SLACK))
+        if not len(promising):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        if len(promising) > FIRST_BLOCKS:
+            promising = promising[np.argpartition(-bound[promising], FIRST_BLOCKS)[:FIRST_BLOCKS]]
         chosen, scores = np.zeros(self.n_blocks, dtype=bool), np.zeros(len(self.ids))
         chosen[promising] = True
         self._add(scores, entry, weight, chosen[block])
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        if len(scores) > k:
+            least = max(least, float(np.partition(scores, -k)[-k]))
         rest = ~chosen & (bound >= least - SLACK) & (bound > 0)
         if rest.any():
             self._add(scores, entry, weight, rest[block])
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            found = found[scores[found] >= np.partition(scores[found], -k)[-k] - SLACK]
-        best = np.lexsort((self.ids[found] == NO_ID, self.ids[found], -np.round(scores[found], 9)))
-        best = found[best][:k]
-        return self.ids[best], scores[best]
+        found = np.flatnonzero((scores > 0) & (scores >= least - SLACK))
+        return best(self.ids[found], scores[found], k)
 
     def _add(self, scores: np.ndarray, entry: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> None:
         entry, weight = entry[wanted], weight[wanted]
@@ -193,22 +195,55 @@ class Shard:
         scores += np.bincount(self.slots[posting], self.impact[posting] * np.repeat(weight, last - first), len(scores))
 
 
+def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, best first; equal scores by id, null ids last."""
+    order = np.lexsort((ids, ids == NO_ID, -np.round(scores, 9)))[:k]
+    return ids[order], scores[order]
+
+
 def _search(k: int, mean_length: float):
-    def run(shards: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"query": [], "doc_id": [], "score": []}
-        if len(queries):
-            for packed in shards.to_dict("records"):
-                shard = Shard(packed, mean_length)
-                for q, names, weights in zip(queries["query"], queries["terms"], queries["weights"], strict=True):
-                    ids, scores = shard.top(np.asarray(names, dtype=np.int64).view("<u8"), np.asarray(weights, dtype=np.float64), k)
-                    out["query"].append(np.full(len(ids), q))
-                    out["doc_id"].append(ids)
-                    out["score"].append(scores)
-        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()}).astype({"query": "int64", "doc_id": "int64", "score": "float64"})
+    """Over rows sorted by (task, kind, seq): a task's queries come before its shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        task = None
+
+        def out() -> pa.RecordBatch:
+            n = [len(ids) for ids, _ in found.values()]
+            query = np.repeat(np.fromiter(found, dtype=np.int64, count=len(found)), n)
+            ids = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found.values())])
+            scores = np.concatenate([np.zeros(0), *(x for _, x in found.values())])
+            return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(scores)], ["query", "doc_id", "score"])
+
+        for b in batches:
+            for row in range(b.num_rows):
+                if b["task"][row].as_py() != task:
+                    if found:
+                        yield out()
+                    queries, found, task = {}, {}, b["task"][row].as_py()
+                get = lambda c: b[c][row].as_buffer()  # noqa: B023, E731
+                if not b["kind"][row].as_py():
+                    queries[b["seq"][row].as_py()] = np.frombuffer(get("terms"), "<u8").copy(), np.frombuffer(get("weights"), "<f8").copy()
+                    continue
+                shard = Shard({c: get(c) for c in SHARD}, mean_length)
+                for q, (names, weights) in queries.items():
+                    ids, scores = found.get(q, (np.zeros(0, np.int64), np.zeros(0)))
+                    new, more = shard.top(names, weights, k, float(scores[-1]) if len(scores) == k else 0.0)
+                    if len(new):
+                        found[q] = best(np.concatenate([ids, new]), np.concatenate([scores, more]), k)
+        if found:
+            yield out()
 
     return run
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        packed = [[x.values.to_numpy(zero_copy_only=False).tobytes() for x in b[c]] for c in ("terms", "weights")]
+        yield pa.RecordBatch.from_arrays([b["query"], *(pa.array(x, pa.binary()) for x in packed)], ["query", "terms", "weights"])
+
+
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each shard, numbered from 0."""
     small_batches(docs.sparkSession)
@@ -230,14 +265,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = asked.select("query", "text").mapInArrow(_query_terms, "query long, term long, n long").join(df, "term").select("query", "term", (F.col("n") * idf).alias("weight"))
     known = weighed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    known = checkpoint(known)
+    known = checkpoint(known.mapInArrow(_pack, "query long, terms binary, weights binary"))
     blocks = max(1, -(-known.count() // QUERY_BLOCK))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(1, n) - 1)))
-    sent = known.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", every(n_shards))
-    held = shards.withColumn("part", every(blocks))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
-    found = held.groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInPandas(_search(k, mean_length), "query long, doc_id long, score double")
+    groups = max(1, min(n_shards, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // blocks)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    binary = lambda c: F.lit(None).cast("binary").alias(c)
+    task = F.col("part") * groups + F.col("group")
+    sent = known.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
+    sent = sent.select(task.alias("task"), F.lit(0).alias("kind"), F.col("query").alias("seq"), "weights", *["terms" if c == "terms" else binary(c) for c in SHARD])
+    held = shards.withColumn("group", (F.col("shard") % groups).cast("int")).withColumn("part", each(blocks))
+    held = held.select(task.alias("task"), F.lit(1).alias("kind"), F.col("shard").cast("long").alias("seq"), binary("weights"), *SHARD)
+    small_batches(spark, 4)  # a row may be a whole shard
+    dealt = sent.union(held).repartitionById(blocks * groups, "task").sortWithinPartitions("task", "kind", "seq")
+    found = dealt.mapInArrow(_search(k, mean_length), "query long, doc_id long, score double")
     named: Column = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
-    best = W.partitionBy("query").orderBy(F.round("score", 9).desc(), F.col("doc_id").asc_nulls_last())
-    merged = found.withColumn("doc_id", named).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    by_score = W.partitionBy("query").orderBy(F.round("score", 9).desc(), F.col("doc_id").asc_nulls_last())
+    merged = found.withColumn("doc_id", named).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     return merged.join(asked.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", "score")
