@@ -50,6 +50,8 @@ SHARD_CHARS = 32 << 20
 BLOCK = 64
 #: Queries that one task holds; about 5 kB each.
 QUERY_BLOCK = 16_384
+#: Shards that pass through one task at most, so that tasks stay short enough to be run again.
+SHARDS_A_TASK = 64
 #: Tasks for each core, so that uneven ones even out.
 TASKS_A_CORE = 2
 #: Blocks scored before any is passed over.
@@ -267,7 +269,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc
     known = weighed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
     known = checkpoint(known.mapInArrow(_pack, "query long, terms binary, weights binary"))
     blocks = max(1, -(-known.count() // QUERY_BLOCK))
-    groups = max(1, min(n_shards, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // blocks)))
+    groups = max(1, -(-n_shards // SHARDS_A_TASK), min(n_shards, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // blocks)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     binary = lambda c: F.lit(None).cast("binary").alias(c)
     task = F.col("part") * groups + F.col("group")
