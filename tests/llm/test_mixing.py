@@ -73,6 +73,16 @@ def test_repeated_rows_nulls_and_clashing_names(spark):
     assert mixed.filter("text = 'a b c'").count() * 3 == sum(copied)
 
 
+def test_rows_repeated_very_often_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    df = spark.createDataFrame([(1, "a b c", "s", "u")] * 50 + [(2, "a", "s", "u")], "doc_id long, text string, source string, unit string")
+    rows = mixing.mixed_rows(mixing.mix(df)).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1] * 50 + [2]
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    assert mixed.filter("doc_id = 1").count() * 3 == sum(r["taken"] for r in rows if r["doc_id"] == 1)
+
+
 def test_empty_table(no_docs):
     assert mixing.mixed_rows(mixing.mix(no_docs)).count() == 0
     assert mixing.mixed_documents(no_docs).count() == 0

@@ -40,6 +40,8 @@ MOST = 2.0
 BLOCK = 1000
 #: Documents that the last block of a source keeps open for the landing, besides two of its flight.
 LANDING = 10
+#: Copies of one row that one task makes at most.
+REPEATS = 10_000
 EPS = 1e-9
 
 
@@ -171,15 +173,28 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     return out.select("unit", "doc_id", "source", "size", "n", "copies", "source_size", "target")
 
 
+def _repeated(df: DataFrame, count: str, units: DataFrame) -> DataFrame:
+    """Each row ``count`` times, numbered ``__i`` from 0; rows repeated very often are dealt over tasks first."""
+    n = F.col(count)
+    if units.filter(F.col("copies") + F.col("n") > REPEATS).limit(1).count():
+        chunk = F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(REPEATS)))
+        df = df.withColumn("__from", chunk).repartition("unit", "__from")
+    else:
+        df = df.withColumn("__from", F.lit(0).cast("long"))
+    each = F.explode(F.sequence("__from", F.least(F.col("__from") + REPEATS, n) - 1))
+    return df.withColumn("__i", each).drop("__from")
+
+
 def mixed_rows(units: DataFrame) -> DataFrame:
     """A row for each row that was mixed: (doc_id, size, source_size, target, taken)."""
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
-    share = F.expr("copies div n") + F.when(F.col("i") < F.expr("copies % n"), 1).otherwise(0)
-    return units.withColumn("i", each).select("doc_id", "size", "source_size", "target", (F.col("size") * share).cast("long").alias("taken"))
+    share = F.expr("copies div n") + F.when(F.col("__i") < F.expr("copies % n"), 1).otherwise(0)
+    return _repeated(units, "n", units).select("doc_id", "size", "source_size", "target", (F.col("size") * share).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """Rows of ``docs`` as often as the mix takes them; columns are those of ``docs``."""
-    units = mix(docs, doc_id=doc_id, text=text, source=source, **how).filter("copies > 0").select(F.col("unit").alias("__unit"), F.col("copies").alias("__copies"))
-    one_each = docs.withColumn("__unit", unit_key(F.col(doc_id), F.col(text), F.col(source))).dropDuplicates(["__unit"])
-    return one_each.join(units, "__unit").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    units = mix(docs, doc_id=doc_id, text=text, source=source, **how)
+    taken = units.filter("copies > 0").select("unit", F.col("copies").alias("__copies"))
+    columns = {c: f"__{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
+    one_each = docs.select(*[F.col(c).alias(n) for c, n in columns.items()], unit_key(F.col(doc_id), F.col(text), F.col(source)).alias("unit")).dropDuplicates(["unit"])
+    return _repeated(one_each.join(taken, "unit"), "__copies", units).select(*[F.col(n).alias(c) for c, n in columns.items()])
