@@ -113,5 +113,13 @@ def test_null_and_repeated_ids(spark):
     assert sorted(r["offset"] for r in got) == [0, *np.cumsum([r["length"] for r in sorted(got, key=lambda r: r["offset"])])[:-1].tolist()]
 
 
+def test_repeated_rows_get_places_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL", 10)
+    df = spark.createDataFrame([(1, "one and the same row")] * 2000, "doc_id long, text string").repartition(3)
+    got = packing.pack(df, BYTES).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) == 2000
+    assert len({r["sequence_id"] for r in got}) == -(-2000 // (2048 // got[0]["length"]))
+
+
 def test_empty_table(no_docs):
     assert packing.pack(no_docs, BYTES).count() == 0

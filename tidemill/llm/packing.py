@@ -121,11 +121,11 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by_length = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, _ = plan(by_length, capacity)
     salts = max(1, sum(by_length.values()) // CELL)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts))
-    salted = cut_pieces.withColumn("__salt", salt)
+    # Numbers of checkpointed rows don't change, and tell even repeated rows apart.
+    salted = cut_pieces.withColumn("__at", F.monotonically_increasing_id()).withColumn("__salt", F.pmod(F.xxhash64("__at"), F.lit(salts)))
     cells = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))
     before = cells.select("length", "__salt", (F.sum("n").over(W.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
-    within = F.row_number().over(W.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(W.partitionBy("length", "__salt").orderBy("__at")) - 1
     ranked = salted.withColumn("__rank", within).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
     table = np.array(sorted((r[0], r[1], r[3], r[4], r[5]) for r in rows), dtype=np.int64).reshape(-1, 5)
     return ranked.select(*cut_pieces.columns, "__rank").mapInArrow(_placer(table), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long")
