@@ -11,6 +11,8 @@ is one shuffle of the rows by (keys, block).
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -37,13 +39,15 @@ def running(df: DataFrame, order: str, aggregates: Mapping[str, tuple[str, Colum
     With ``inclusive`` false a row sees only the rows before it.
     """
     on = [*keys, "__block"]
-    cut = df.withColumns({f"__x_{n}": x for n, (_, x) in aggregates.items()}).withColumn("__block", F.floor(F.col(order) / block).cast("long"))
+    cut = df.withColumns({f"__x_{n}": x for n, (_, x) in aggregates.items()}).withColumn("__block", F.expr(f"`{order}` div {block}").cast("long"))
     totals = cut.groupBy(*on).agg(*[_FOLD[k](f"__x_{n}").alias(f"__t_{n}") for n, (k, _) in aggregates.items()])
     earlier = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     fold = {n: F.sum if k == "count" else _FOLD[k] for n, (k, _) in aggregates.items()}
     before = totals.select(*on, *[fold[n](f"__t_{n}").over(earlier).alias(f"__b_{n}") for n in aggregates])
     here = W.partitionBy(*on).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow if inclusive else -1)
-    joined = cut.join(before, on)
+    before = before.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(on)})
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(on)]  # null keys are a key, too
+    joined = cut.join(before, reduce(and_, same))
     out = joined.withColumns({n: _join(k, F.col(f"__b_{n}"), _FOLD[k](f"__x_{n}").over(here)) for n, (k, _) in aggregates.items()})
     return out.select(*df.columns, *aggregates)
 
