@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch handed to Python.  Texts are long, so batches hold few of them.
 BATCH_ROWS = 256
 
+#: What operators remember in a Python worker, which outlives them.
+WORKER_MEMORY: list[dict] = []
+
+
+def forget() -> None:
+    """Called where an operator that remembers nothing starts in a worker."""
+    for x in WORKER_MEMORY:
+        x.clear()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, forget, small_batches
 from .components import components
 
 RADIUS = 2
@@ -57,6 +57,7 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
+    forget()
     return pd.Series([fingerprint(x) for x in texts], dtype="int64")
 
 

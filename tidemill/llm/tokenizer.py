@@ -17,9 +17,12 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
 
 import regex
 
+from .common import WORKER_MEMORY
+
 #: Pieces and pre-tokens that one Python worker remembers before it forgets those not used since.
 REMEMBERED = 600_000
 #: The splitting pattern of the byte tokenizer, whose file names it only by its kind.  Fixed value.
@@ -41,21 +44,20 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Recent(dict):
-    """A dictionary that keeps about ``bound`` of the entries used last."""
+    """A dictionary that finds what it lacks and keeps at most ``bound`` entries, the newest."""
 
     def __init__(self, bound: int, find):
         super().__init__()
-        self.bound, self.find, self.older = bound, find, {}
+        self.bound, self.find = bound, find
 
     def __missing__(self, key):
-        found = self.older.get(key)
-        self[key] = found = self.find(key) if found is None else found
+        self[key] = found = self.find(key)
         return found
 
     def trim(self) -> None:
         if len(self) > self.bound:
-            self.older = dict(self)
-            self.clear()
+            for key in list(islice(self, len(self) // 3)):
+                del self[key]
 
 
 class Encoder:
@@ -67,10 +69,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        pre = told.get("pre_tokenizer") or {}
-        norm = told.get("normalizer")
+        pre, norm = (json.loads(x.__getstate__()) if x else None for x in (self.library.pre_tokenizer, self.library.normalizer))
+        pre = pre or {}
         norms = [x["type"] for x in norm.get("normalizers", [norm])] if norm else []
         inner = pre.get("pretokenizers") or []
         self.lower = norms == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in inner] == ["Split", "ByteLevel"] and inner[0]["invert"] and not inner[1]["use_regex"] and not inner[1]["add_prefix_space"]
@@ -124,6 +124,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+WORKER_MEMORY.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:

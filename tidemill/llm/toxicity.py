@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, forget, small_batches
 from .quality import labelled
 
 #: Labelled documents that a fit takes at most.
@@ -182,6 +182,7 @@ def sketch(text: str | None) -> list[int]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
 
     def out() -> pa.RecordBatch:
@@ -195,7 +196,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
             for x, n in patterns(text).items():
                 counts[x][0 if y else 1] += n
-        if len(counts) > 150_000:
+        if len(counts) > 60_000:
             yield out()
     yield out()
 
@@ -288,6 +289,7 @@ def score(model: tuple[dict[str, float], dict[str, float]], text: Column) -> Col
 
     @F.pandas_udf(T.DoubleType())
     def scored(texts: pd.Series) -> pd.Series:
+        forget()
         if key not in _LEXICONS:
             _LEXICONS[key] = Lexicon(dict(key[0]), dict(key[1]))
         return pd.Series([_LEXICONS[key].score(x) for x in texts], dtype="float64")
