@@ -141,7 +141,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius:
     distinct = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = checkpoint(components(links(distinct.select("fp"), radius)))
     named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    lowest = checkpoint(named.groupBy("component").agg(F.min("rep").alias("component_id")))  # or a large component couldn't be split below
     by_fp = named.join(lowest, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 

@@ -160,6 +160,8 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     rest_core = rest.filter("n_core > 0").withColumn("t", F.explode(F.transform(each(blocks["n_core"]), lambda k: task(own, k, "core", no, no))))
     core_rest = some.filter("core").withColumn("t", F.explode(F.transform(each(blocks["n_rest"]), lambda k: task(k, spread(blocks["n_core"]), "core", yes, no))))
     squares = rest_rest.unionByName(rest_core).unionByName(core_rest).select("component", "t.*", "unit", "v", "n")
+    # Dealt by block, or Spark would leave a component where the join above put it.
+    squares = squares.repartition("component", "i", "j", "kind")
     across = squares.groupBy("component", "i", "j", "kind").applyInPandas(_degrees(threshold), "unit long, links long")
     return within_core.unionByName(across).groupBy("unit").agg(F.sum("links").alias("links"))
 
@@ -195,7 +197,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     members = classes.withColumnRenamed("node", "unit").join(units.select("unit", "v", "n"), "unit")
     degrees = _count_links(members, threshold)
     named = units.select("unit", "h1", "h2", "rep", "n").join(classes.withColumnRenamed("node", "unit"), "unit", "left").withColumn("component", F.coalesce("component", "unit"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    lowest = checkpoint(named.groupBy("component").agg(F.min("rep").alias("component_id")))  # or a large component couldn't be split below
     told = named.join(lowest, "component").join(degrees, "unit", "left").select("h1", "h2", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = rows.join(told, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
