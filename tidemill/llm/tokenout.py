@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, estimated_bytes, small_batches
+from .common import estimated_bytes, small_batches
 from .tokenizer import encoder
 
 #: Bytes of input for each shard.  Fixed by what a reader holds of a shard at once.
