@@ -5,7 +5,7 @@ row that holds its postings, sorted by term and document, as packed arrays.
 Document counts, total length and document frequencies are summed over all
 shards, so scores don't depend on how documents fell into shards.
 
-Documents of a shard stand in blocks of 64, and each term knows its largest
+Documents of a shard stand in blocks of 256, and each term knows its largest
 contribution to a score in each block it occurs in.  A query sums those to an
 upper bound for each block, scores the documents of the most promising blocks,
 and from then on only blocks whose bound reaches its k-th best score: the
@@ -47,7 +47,7 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS = 8192
 SHARD_CHARS = 32 << 20
-BLOCK = 64
+BLOCK = 256
 #: Queries that one task holds; about 5 kB each.
 QUERY_BLOCK = 16_384
 #: Shards that pass through one task at most, so that tasks stay short enough to be run again.
@@ -55,7 +55,7 @@ SHARDS_A_TASK = 64
 #: Tasks for each core, so that uneven ones even out.
 TASKS_A_CORE = 2
 #: Blocks scored before any is passed over.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 16
 NO_ID = -(1 << 63)
 #: Far above rounding in a sum, far below a difference of scores that matters.
 SLACK = 1e-9
