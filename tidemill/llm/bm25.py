@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, forget, small_batches, trim
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -101,6 +101,8 @@ SHARD = ("ids", "lengths", "terms", "starts", "slots", "tf")
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
+    trim()
     docs: list[tuple[int | None, Terms]] = []
     chars = 0
 
@@ -116,8 +118,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(docs) == SHARD_DOCS or chars > SHARD_CHARS:
                 yield out()
                 docs, chars = [], 0
+                trim()
     if docs:
         yield out()
+        docs = []
+    trim()
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +239,12 @@ def _search(k: int, mean_length: float):
                     new, more = shard.top(names, weights, k, float(scores[-1]) if len(scores) == k else 0.0)
                     if len(new):
                         found[q] = best(np.concatenate([ids, new]), np.concatenate([scores, more]), k)
+                del shard
+                trim()
         if found:
             yield out()
+        queries, found = {}, {}
+        trim()
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -21,6 +23,12 @@ def forget() -> None:
         x.clear()
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where its C library can; large arrays otherwise stay with the worker."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
