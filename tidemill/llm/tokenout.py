@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, small_batches
+from .common import estimated_bytes, forget, small_batches, trim
 from .tokenizer import encoder
 
 #: Bytes of input for each shard.  Fixed by what a reader holds of a shard at once.
@@ -94,6 +94,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
             found = enc.encode([x or "" for x in b["text"].to_pylist()])
             framed = [frame(k, np.frombuffer(x + tail, dtype="<u4"), width) for k, x in zip(b["doc_id"].to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(framed, type=pa.binary())], ["record"])
+        trim()
 
     # A string column holds any bytes; the text writer copies them as they are.
     ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
@@ -107,6 +108,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             for shard, content in zip(b["shard"].to_pylist(), b["content"], strict=True):
                 data, at, start, rows = memoryview(content.as_buffer()), 0, 0, []
@@ -118,6 +120,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
                         yield _record_rows(rows)
                         rows = []
                 yield _record_rows(rows)
+        trim()
 
     return files.mapInArrow(run, ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in RECORD))
 
