@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import mixing, packing, quality, simhash, toxicity
+from tidemill.llm import mixing, packing, quality, shingles, toxicity
 from tidemill.llm.common import scratch, table
 from tidemill.llm.tokenizer import public
 
@@ -27,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return simhash.keep_one(docs)
+    """One document of each class linked by five-word shingles of a similarity of 0.8 or more stays."""
+    return shingles.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,16 +150,18 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None, marks=_fingerprints) -> DataFrame:
     """One row of ``docs`` for each near-duplicate class: that of its smallest id.
 
     Rows that repeat that id leave one; a class whose ids are all null keeps
     one row for each of its fingerprints.  Columns are those of ``docs``.
+    ``found`` are classes by another rule, and ``marks`` gives its ``fp`` of a
+    text in bytes.
     """
-    found = classes(docs, doc_id, text)
+    found = classes(docs, doc_id, text) if found is None else found
     named = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     unnamed = found.filter("component_id is null").groupBy("fp").agg(F.lit(1).alias("n")).select(F.col("fp").alias("__fp"))
     kept = docs.join(named, docs[doc_id] == named["__id"], "left_semi").dropDuplicates([doc_id])
     nulls = docs.filter(F.col(doc_id).isNull())
-    spare = nulls.withColumn("__h", _fingerprints(F.col(text).cast("binary"))).join(unnamed, F.col("__h") == F.col("__fp")).dropDuplicates(["__h"]).drop("__h", "__fp")
+    spare = nulls.withColumn("__h", marks(F.col(text).cast("binary"))).join(unnamed, F.col("__h") == F.col("__fp")).dropDuplicates(["__h"]).drop("__h", "__fp")
     return kept.unionByName(spare)
