@@ -5,7 +5,7 @@ import brute
 import numpy as np
 
 import corpus_pipeline
-from tidemill.llm import shingles
+from tidemill.llm import shingles, simhash
 
 
 def words_set(text):
@@ -75,6 +75,43 @@ def test_prefixes_of_near_sets_meet_whatever_is_common():
             assert len(np.intersect1d(shingles.prefix(a, common), shingles.prefix(b, common)))
 
 
+def test_parities_of_unlike_numbers_bound_the_difference(spark):
+    """Large sets have more parities; folded, they still differ in no more cells than sets do in shingles."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for n, m in ((900, 1100), (1000, 1030), (3900, 4400), (5000, 5000), (30, 30)):
+        pool = rng.integers(-(2**62), 2**62, n + m)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[: n - n // 10], pool[n : n + m - (n - n // 10)]]))
+        rows.append((shingles.parities(a).tolist(), shingles.parities(b).tolist(), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, apart int")
+    got = df.select("apart", shingles._differ(df["a"], df["b"]).alias("d")).collect()
+    assert all(r["apart"] / 2 < r["d"] <= r["apart"] for r in got)
+    assert len({len(r[0]) for r in rows}) > 1 and any(len(r[0]) != len(r[1]) for r in rows)
+
+
+def test_near_fingerprints_are_candidates(spark, monkeypatch):
+    """Without prefixes, copies that differ in a word or less still meet by the covering tables."""
+    base = [f"b{i}" for i in range(600)]
+    rows = [(k, " ".join([*base[:k], "changed", *base[k + 1 :]])) for k in (0, 599, 300)] + [(1000, " ".join(base)), (1001, "something else altogether here now")]
+    monkeypatch.setattr(shingles, "prefix", lambda found, common: found[:0])
+    marks = [simhash.fingerprint(t.encode(), 5) & (1 << 64) - 1 for _, t in rows]
+    want = brute.Union([r[0] for r in rows])
+    for (a, _), x in zip(rows, marks, strict=True):
+        for (b, _), y in zip(rows, marks, strict=True):
+            if (x ^ y).bit_count() <= 2:
+                want.link(a, b)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = df.select(df["text"].cast("binary").alias("text"))
+    read = shingles._read(spark.sparkContext.broadcast(np.empty(0, dtype=np.int64)))
+    nodes = df.withColumn("text", df["text"].cast("binary")).mapInArrow(read, "doc_id long, fp long, mark long, n long, first array<long>, odd array<long>")
+    found = shingles._near(shingles._by_marks(nodes), nodes, texts)
+    ids = {r["fp"]: r["doc_id"] for r in nodes.collect()}
+    got = brute.Union([r[0] for r in rows])
+    for r in found.collect():
+        got.link(ids[r["a"]], ids[r["b"]])
+    assert {k: got.root(k) for k, _ in rows} == {k: want.root(k) for k, _ in rows} and got.root(599) == got.root(1000)
+
+
 def test_null_ids_and_blank_texts(spark, no_docs):
     rows = [(None, "a b c"), (7, "A  b c"), (3, None), (4, " \t"), (5, "")]
     got = sorted((tuple(r) for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()), key=str)

@@ -57,6 +57,30 @@ def test_null_ids_repeats_and_clashing_columns(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 3, 7]
 
 
+def test_an_id_on_several_texts_loses_none(spark):
+    """Each class keeps a row whatever the order of rows, and no duplicate stays."""
+    rows = [(3, "x y z", 1), (5, "x y z", 2), (5, "a b c", 3), (None, "a b c", 4), (None, "q r s", 5), (None, "q r s", 5), (None, "t u v", 6)]
+    seen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for parts in (1, 3):
+            df = spark.createDataFrame(order, "doc_id long, text string, __h int").repartition(parts)
+            kept = simhash.keep_one(df)
+            assert kept.columns == df.columns
+            seen.add(tuple(sorted(map(tuple, kept.collect()), key=str)))
+    assert seen == {tuple(sorted([(3, "x y z", 1), (5, "a b c", 3), (None, "q r s", 5), (None, "t u v", 6)], key=str))}
+
+
+def test_keep_one_moves_whole_rows_once(docs):
+    plan = simhash.keep_one(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(h1") <= 2  # rows with texts, and the hashes of those kept
+
+
+def test_a_very_long_text_is_read_whole(words):
+    text = " ".join(words[:200] * 100 + words[200:] * 900)
+    assert simhash.fingerprint(text.encode()) & (1 << 64) - 1 == brute.simhash(text)
+    assert simhash.fingerprint(text.encode()) != simhash.fingerprint(text[: len(text) // 50].encode())
+
+
 def test_empty_table(no_docs):
     assert simhash.classes(no_docs).count() == 0
     assert simhash.keep_one(no_docs).count() == 0

@@ -6,11 +6,14 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch handed to Python.  Texts are long, so batches hold few of them.
+#: Rows of an Arrow batch that are worked on at once.  Texts are long, so these are few.
 BATCH_ROWS = 256
 
 #: What operators remember in a Python worker, which outlives them.
@@ -62,9 +65,47 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds; long texts would not fit otherwise."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows.  Spark bounds the bytes of a batch, so no session setting is needed besides."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def each_text(texts: pa.Array, rows: int = BATCH_ROWS) -> Iterator:
+    """The values of one Arrow column, of which few are Python objects at a time."""
+    for at in range(0, len(texts), rows):
+        yield from texts.slice(at, rows).to_pylist()
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Rows of an Arrow batch for what is executed inside; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def sums_before(df: DataFrame, number: str, amount: str, by: tuple[str, ...] = (), block: int = 1000) -> DataFrame:
+    """``df`` with ``before``: the sum of ``amount`` over the rows of a lower ``number``, within ``by``.
+
+    In two levels, so that one task sees a row for each ``block`` numbers at most.
+    """
+    blocked = df.withColumn("__block", F.floor(F.col(number) / block))
+    whole = blocked.groupBy(*by, "__block").agg(F.sum(amount).alias("__sum"))
+    first = whole.select(*by, "__block", (F.sum("__sum").over(W.partitionBy(*by).orderBy("__block")) - F.col("__sum")).alias("__first"))
+    inner = F.sum(amount).over(W.partitionBy(*by, "__block").orderBy(number)) - F.col(amount)
+    return blocked.withColumn("__inner", inner).join(first, [*by, "__block"]).withColumn("before", F.col("__first") + F.col("__inner")).drop("__block", "__first", "__inner")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what an operator wrote below the shared folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

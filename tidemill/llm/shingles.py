@@ -2,64 +2,65 @@
 
 A text is the set of its shingles of five words, hashed to 64 bits.  Two texts
 are linked if their sets share four fifths of their union or more (Jaccard).
-Sets in one global order of shingles share one among their first
-``n - ceil(0.8 n) + 1`` if they are linked (prefix filtering; Chaudhuri et al.,
-2006), so sets meet in a bucket for each shingle of that prefix.  Any order
-will do, so shingles that are common in a bounded sample go last: lines and
-passages that many texts hold make few buckets, and nothing depends on the
-sample but speed.
-
-What meets is verified on the whole sets, first with the smallest member of
-each bucket alone.  That joins a group of near copies of any size by one pair a
-member; afterwards only pairs that are still in different components are
-verified as well.  Sizes and the parities of 1024 cells that shingles fall into
-rule out most pairs before sets are moved: parities differ in no more cells
-than sets do in shingles.  Nothing is capped or left out.
+Candidates come from two sides and are all verified on the whole sets:
+
+1. SimHash fingerprints of the shingles within two bits, by the covering tables
+   of ``simhash``.  Most copies that differ in little meet there.
+2. Texts at a similarity of 0.8 differ in ten of 64 bits on the average, often
+   in twenty, and covering a radius of twenty takes a million tables.  So what
+   lies beyond the radius is found by prefix filtering (Chaudhuri et al.,
+   2006): sets in one global order of shingles share one among their first
+   ``n - ceil(0.8 n) + 1`` if they are linked, and meet in a bucket for it.
+   Any order will do, so shingles that are common in a sample go last: lines
+   and passages that many texts hold make few buckets, and nothing depends on
+   the sample but speed.
+
+Buckets are first joined to their smallest member alone.  That joins a group of
+near copies of any size by one pair a member; afterwards only pairs that are
+still in different components are looked at, and of those only such as their
+places in the two orders still allow.  Sizes, and parities of as many cells as
+a set has shingles, rule out most pairs before sets are moved: parities differ
+in no more cells than sets do in shingles.  Nothing is capped or left out.
 
 Defined cases: words are split and lower-cased on ASCII as in ``simhash``; a
 text of fewer than five words is one shingle; null and empty texts, and texts
 of blanks only, are one empty set and link with each other; texts of equal sets
-are one node, named by 64 bits.
+are one node, named by 64 bits; very long texts are read whole; an empty table
+gives no rows; null ids, repeated rows and clashing columns as in ``simhash``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import simhash
-from .common import checkpoint, forget, small_batches
+from .common import checkpoint, forget, slices
 from .components import components
 
 SHINGLE = 5
 #: Texts are near from OF shingles in common out of every OUT of their union.
 OF, OUT = 4, 5
-#: Texts sampled for common shingles, the texts of the sample that make one common, and shingles taken at most.
-SAMPLE, COMMON, TAKEN = 4_000, 3, 200_000
-#: Words of 64 parities, and the names of sets that are broadcast at most.
-PARITIES, BROADCAST = 16, 1_000_000
-
-
-def shingles(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of one UTF-8 text's shingles, as signed numbers."""
-    words = data.lower().split() if data else []  # both on ASCII only
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(joined, 42)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        hashes = [digest(joined[i : j - 1], 42) for i, j in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    return np.unique(np.array(hashes, dtype="<u8").view("<i8"))
+#: Texts sampled for common shingles: so many at least, and one of so many; a shingle is common in COMMON of them; so many are taken at most.
+SAMPLE, RATE, COMMON, TAKEN = 4_000, 256, 3, 1_000_000
+#: Words of 64 parities of a set of up to 1024 shingles; larger sets have as many parities as shingles, to the next power of two.
+PARITIES = 16
+#: Names of sets that are broadcast at most.
+BROADCAST = 1_000_000
+
+
+def as_set(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes, as signed numbers."""
+    return np.unique(hashes.view("<i8"))
+
+
+def shingles(data: bytes | None) -> np.ndarray:
+    return as_set(simhash.shingle_hashes(data, SHINGLE))
 
 
 def name(found: np.ndarray) -> int:
@@ -67,8 +68,11 @@ def name(found: np.ndarray) -> int:
 
 
 def parities(found: np.ndarray) -> np.ndarray:
-    cells = np.bincount(found & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
-    return np.packbits(cells.astype(np.uint8), bitorder="little").view("<i8")
+    cells = 64 * PARITIES
+    while cells < len(found):
+        cells *= 2
+    odd = np.bincount(found & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _list(sets: list[np.ndarray]) -> pa.Array:
@@ -78,7 +82,7 @@ def _list(sets: list[np.ndarray]) -> pa.Array:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
-    for b in batches:
+    for b in slices(batches):
         sets = [shingles(x) for x in b["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([name(s) for s in sets], pa.int64()), _list(sets)], ["node", "s"])
 
@@ -93,13 +97,17 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([found[~last], found[last]])[:some]
 
 
-def _prefixes(common):
+def _read(common):
+    """Replaces ``text`` by what is kept of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for b in batches:
-            sets = [shingles(x) for x in b["text"].to_pylist()]
-            columns = [b["doc_id"], pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _list([prefix(s, common.value) for s in sets]), _list([parities(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "first", "odd"])
+        for b in slices(batches):
+            hashes = [simhash.shingle_hashes(x, SHINGLE) for x in b["text"].to_pylist()]
+            sets = [as_set(h) for h in hashes]
+            told = [pa.array([f(x) for x in of], pa.int64()) for f, of in ((name, sets), (simhash.majority, hashes), (len, sets))]
+            kept = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in kept], *told, _list([prefix(s, common.value) for s in sets]), _list([parities(s) for s in sets])], [*kept, "fp", "mark", "n", "first", "odd"])
 
     return run
 
@@ -107,7 +115,8 @@ def _prefixes(common):
 def _common(texts: DataFrame) -> np.ndarray:
     """Shingles that many of a sample of texts hold; bounded, and of use for speed only."""
     marked = texts.select("text", F.xxhash64("text").alias("h"))
-    sample = marked.filter(F.pmod("h", F.lit(max(1, texts.count() // SAMPLE))) == 0).dropDuplicates(["h"]).select("text")
+    one_of = max(1, min(RATE, texts.count() // SAMPLE))
+    sample = marked.filter(F.pmod("h", F.lit(one_of)) == 0).dropDuplicates(["h"]).select("text")
     counts = sample.mapInArrow(_sets, "node long, s array<long>").select(F.explode("s").alias("t")).groupBy("t").count().filter(F.col("count") >= COMMON)
     return np.sort(np.array([r["t"] for r in counts.orderBy(F.desc("count"), "t").limit(TAKEN).collect()], dtype=np.int64))
 
@@ -116,11 +125,19 @@ def _like_sized(a: str, b: str) -> Column:
     return F.least(a, b) * OUT >= F.greatest(a, b) * OF
 
 
+def _differ(a: Column, b: Column) -> Column:
+    """Number of parities that differ; those of the larger set are folded to the cells of the smaller."""
+    half = lambda x, at: F.slice(x, at, (F.size(x) / 2).cast("int"))
+    folded = lambda x: F.zip_with(half(x, F.lit(1)), half(x, (F.size(x) / 2).cast("int") + 1), lambda p, q: p.bitwiseXOR(q))
+    x, y = F.when(F.size(a) > F.size(b), folded(a)).otherwise(a), F.when(F.size(b) > F.size(a), folded(b)).otherwise(b)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets are near."""
-    of = [nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}")) for x in "ab"]
-    apart = sum((F.bit_count(F.col("odda")[i].bitwiseXOR(F.col("oddb")[i])) for i in range(PARITIES)), F.lit(0))
-    like = _like_sized("na", "nb") & (apart * (OF + OUT) <= (F.col("na") + F.col("nb")) * (OUT - OF))
+    of = [nodes.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"odd{x}")) for x in "ab"]
+    # Sets of like sizes have parities of like numbers: equal, or one twice the other.
+    like = _like_sized("na", "nb") & (_differ(F.col("odda"), F.col("oddb")) * (OF + OUT) <= (F.col("na") + F.col("nb")) * (OUT - OF))
     pairs = checkpoint(pairs.join(of[0], "a").join(of[1], "b").filter(like).select("a", "b"))
     wanted = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
@@ -131,58 +148,66 @@ def _near(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return checkpoint(both.filter(shared * (OF + OUT) >= (F.size("sa") + F.size("sb")) * OF).select("a", "b"))
 
 
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _by_marks(nodes: DataFrame) -> DataFrame:
+    """Candidates whose fingerprints are within the radius, or lead there over one node of each fingerprint."""
+    marks = checkpoint(nodes.groupBy("mark").agg(F.min("fp").alias("rep")))
+    same = nodes.join(marks, "mark").filter("fp <> rep").select(*_ordered("fp", "rep"))
+    found = simhash.links(marks.select(F.col("mark").alias("fp")))
+    of = [marks.select(F.col("mark").alias(x), F.col("rep").alias(f"r{x}")) for x in "ab"]
+    return same.union(found.join(of[0], "a").join(of[1], "b").select(*_ordered("ra", "rb")))
+
+
 def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes whose sets are near.
 
-    ``nodes`` has one row (node, n, first, odd) for each set among ``texts``:
-    its name, size, prefix and parities.
+    ``nodes`` has one row (fp, mark, n, first, odd) for each set among
+    ``texts``: its name, fingerprint, size, prefix and parities.
     """
-    members = nodes.select(F.explode("first").alias("t"), "node", "n")
+    members = nodes.select(F.posexplode("first").alias("i", "t"), F.col("fp").alias("node"), "n")
     buckets = checkpoint(members.groupBy("t").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("pivot"), F.max("node").alias("last")).filter("many > 1"))
     members = checkpoint(members.join(buckets.filter("many > 2").select("t", "pivot"), "t"))
     twos = buckets.filter("many = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"))
-    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).union(twos).distinct()
+    pairs = members.filter("node <> pivot").select(*_ordered("pivot", "node")).union(twos).union(_by_marks(nodes)).distinct()
     linked = _near(pairs, nodes, texts)
     joined = checkpoint(components(linked))
-    placed = checkpoint(members.filter("node <> pivot").join(joined, "node", "left").select("t", "node", "n", F.coalesce("component", "node").alias("component")))
+    placed = checkpoint(members.filter("node <> pivot").join(joined, "node", "left").select("t", "i", "node", "n", F.coalesce("component", "node").alias("component")))
     # The members of a bucket that are in its most frequent component need no pairs among themselves.
     main = placed.groupBy("t", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
     placed = checkpoint(placed.join(main, "t"))
     apart, rest = placed.filter("component <> main").alias("x"), placed.alias("y")
+    # A near pair has its first shared shingle in some bucket, and there enough is left on both sides.
+    left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    enough = left * (OF + OUT) >= (F.col("x.n") + F.col("y.n")) * OF
     more = (
         apart.join(rest, F.col("x.t") == F.col("y.t"))
-        .filter((F.col("x.component") != F.col("y.component")) & _like_sized("x.n", "y.n"))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        .filter((F.col("x.component") != F.col("y.component")) & _like_sized("x.n", "y.n") & enough)
+        .select(*_ordered("x.node", "y.node"))
         .distinct()
     )
     return linked.union(_near(more, nodes, texts))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``, as ``simhash.classes`` has them; ``fp`` names the set."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, ...) without texts, with the name of each set as ``fp`` and its ``component``."""
+    given = docs.withColumn("text", F.col("text").cast("binary"))
     texts = given.select("text")
-    kind = given.schema["doc_id"].dataType.simpleString()
-    run = _prefixes(spark.sparkContext.broadcast(_common(texts)))
-    rows = checkpoint(given.mapInArrow(run, f"doc_id {kind}, node long, n long, first array<long>, odd array<long>"))
-    marked = rows.select("doc_id", F.col("node").alias("fp"))
-    distinct = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    nodes = checkpoint(rows.select("node", "n", "first", "odd").dropDuplicates(["node"]))
+    run = _read(docs.sparkSession.sparkContext.broadcast(_common(texts)))
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "text"]
+    rows = checkpoint(given.mapInArrow(run, ", ".join([*kept, "fp long, mark long, n long, first array<long>, odd array<long>"])))
+    nodes = checkpoint(rows.select("fp", "mark", "n", "first", "odd").dropDuplicates(["fp"]))
     found = checkpoint(components(links(texts, nodes)))
-    named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    lowest = checkpoint(named.groupBy("component").agg(F.min("rep").alias("component_id")))
-    by_fp = named.join(lowest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return checkpoint(simhash.place(rows.drop("mark", "n", "first", "odd"), found))
 
 
-@F.pandas_udf(T.LongType())
-def _names(texts: pd.Series) -> pd.Series:
-    forget()
-    return pd.Series([name(shingles(x)) for x in texts], dtype="int64")
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``docs``, as ``simhash.classes`` has them; ``fp`` names the set."""
+    return simhash.name(placed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each class, chosen as ``simhash.keep_one`` does."""
-    return simhash.keep_one(docs, doc_id, text, classes(docs, doc_id, text), _names)
+    """``simhash.keep_one`` of classes by similarity."""
+    return simhash.keep_one(docs, doc_id, text, placed)

@@ -9,10 +9,17 @@ its table sees two equal keys: every pair within the radius collides in at
 least one table (Pagh, "CoveringLSH", 2016).  Nothing is missed, and what
 collides is verified on all 64 bits.
 
+``keep_one`` keeps a row of each class.  It takes classes by any rule; the one
+of the pipeline, in ``shingles``, asks for a similarity of five-word shingles.
+
 Defined cases: null and empty texts, and texts of blanks only, have fingerprint
 zero and link like any other; a text of fewer words than a shingle is one
-shingle; rows with a null id get their group's component but never name it;
-repeated rows stay repeated.
+shingle; a text of any length is read whole, 64-bit counts of bits; rows with a
+null id get their group's component but never name it, and a class whose ids
+are all null has a null ``component_id``; repeated rows stay repeated in
+``classes``; an empty table gives no rows; columns besides the id and the text
+are never read by ``classes``, whatever their names, and come out of
+``keep_one`` unchanged.
 """
 
 from __future__ import annotations
@@ -20,13 +27,13 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, forget, small_batches
+from .common import checkpoint, each_text, forget
 from .components import components
 
 RADIUS = 2
@@ -35,19 +42,20 @@ SHINGLE = 3
 PAIRWISE_BUCKET = 48
 
 
-def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
-    """SimHash of one UTF-8 text as a signed 64-bit number."""
+def shingle_hashes(data: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of one UTF-8 text, repeats included."""
     words = data.lower().split() if data else []  # both on ASCII only
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return np.empty(0, dtype="<u8")
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, 42)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[i : j - 1], 42) for i, j in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    h = np.array(hashes, dtype="<u8")
+        return np.array([digest(joined, 42)], dtype="<u8")
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return np.array([digest(joined[i : j - 1], 42) for i, j in zip([0, *ends], ends[shingle - 1 :], strict=False)], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of ``h``, as a signed 64-bit number."""
     set_bits = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         part = h[at : at + 65536]
@@ -55,15 +63,19 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * set_bits > len(h), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
+def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
+    """SimHash of one UTF-8 text as a signed 64-bit number."""
+    return majority(shingle_hashes(data, shingle))
+
+
+@F.arrow_udf(T.LongType())
+def _fingerprints(texts: pa.Array) -> pa.Array:
     forget()
-    return pd.Series([fingerprint(x) for x in texts], dtype="int64")
+    return pa.array([fingerprint(x) for x in each_text(texts)], pa.int64())
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a column ``fp``; a column of that name is replaced."""
-    small_batches(docs.sparkSession)
     return docs.withColumn("fp", _fingerprints(F.col(text).cast("binary")))
 
 
@@ -131,37 +143,64 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return twos.union(some).union(many)
 
 
+def place(marked: DataFrame, joined: DataFrame) -> DataFrame:
+    """``marked`` with the ``component`` of each row's ``fp``, by ``joined`` (node, component).
+
+    A node that ``joined`` doesn't know is a component of its own.
+    """
+    distinct = checkpoint(marked.select("fp").distinct())
+    of = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    return marked.join(of, "fp")
+
+
+def name(placed: DataFrame) -> DataFrame:
+    """``(doc_id, fp, component_id)``: a component's smallest id is its name."""
+    lowest = checkpoint(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")))  # or a large component couldn't be split below
+    return placed.join(lowest, "component").select("doc_id", "fp", "component_id")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links of up to
     ``radius`` differing bits; copies meet in one fingerprint first.
     """
-    marked = checkpoint(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"))
-    distinct = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = checkpoint(components(links(distinct.select("fp"), radius)))
-    named = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    lowest = checkpoint(named.groupBy("component").agg(F.min("rep").alias("component_id")))  # or a large component couldn't be split below
-    by_fp = named.join(lowest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return name(_placed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), radius))
+
+
+def _placed(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` (text, ...) without texts, with ``fp`` and ``component``."""
+    marked = checkpoint(fingerprints(docs).drop("text"))
+    distinct = checkpoint(marked.select("fp").distinct())
+    return checkpoint(place(marked, checkpoint(components(links(distinct, radius)))))
 
 
 def hex_fingerprint(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None, marks=_fingerprints) -> DataFrame:
-    """One row of ``docs`` for each near-duplicate class: that of its smallest id.
+def _row_names(docs: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns, which name a row up to exact repeats."""
+    values = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() or f.dataType.simpleString() == "variant" else F.col(c) for c, f in zip(docs.columns, docs.schema, strict=True)]
+    nulls = F.concat(F.lit(""), *[F.col(c).isNull().cast("int").cast("string") for c in docs.columns])  # xxhash64 passes nulls over
+    return [F.xxhash64(F.lit(salt), nulls, *values) for salt in (1, 2)]
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", placed=_placed) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate class, with the columns of ``docs``.
 
-    Rows that repeat that id leave one; a class whose ids are all null keeps
-    one row for each of its fingerprints.  Columns are those of ``docs``.
-    ``found`` are classes by another rule, and ``marks`` gives its ``fp`` of a
-    text in bytes.
+    It is the row of the smallest id, null ids last; of rows that share it,
+    the one whose hash over all columns is smallest, so neither the order of
+    rows nor the partitioning matters, and no text is lost where an id stands
+    on several.  ``placed`` gives the component of each row.  Whole rows move
+    once: rows that agree in all columns meet, map side first, and only named
+    ones stay.
     """
-    found = classes(docs, doc_id, text) if found is None else found
-    named = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    unnamed = found.filter("component_id is null").groupBy("fp").agg(F.lit(1).alias("n")).select(F.col("fp").alias("__fp"))
-    kept = docs.join(named, docs[doc_id] == named["__id"], "left_semi").dropDuplicates([doc_id])
-    nulls = docs.filter(F.col(doc_id).isNull())
-    spare = nulls.withColumn("__h", marks(F.col(text).cast("binary"))).join(unnamed, F.col("__h") == F.col("__fp")).dropDuplicates(["__h"]).drop("__h", "__fp")
-    return kept.unionByName(spare)
+    columns = {c: f"__{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
+    own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
+    h1, h2 = _row_names(own)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    rows = own.select(F.col(columns[doc_id]).alias("doc_id"), F.col(columns[text]).alias("text"), h1.alias("h1"), h2.alias("h2"))
+    kept = checkpoint(placed(rows).groupBy("component").agg(F.min(key).alias("k")).select("k.h1", "k.h2"))
+    named = own.withColumns({"h1": h1, "h2": h2}).dropDuplicates(["h1", "h2"]).join(kept, ["h1", "h2"], "left_semi")
+    return named.select(*[F.col(n).alias(c) for c, n in columns.items()])
