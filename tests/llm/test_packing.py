@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemill.llm import packing
@@ -121,5 +122,22 @@ def test_repeated_rows_get_places_of_their_own(spark, monkeypatch):
     assert len({r["sequence_id"] for r in got}) == -(-2000 // (2048 // got[0]["length"]))
 
 
+def test_cells_hold_what_they_are_meant_to(spark, monkeypatch):
+    """Few cells where lengths are many, many where one length is very common."""
+    monkeypatch.setattr(packing, "CELL", 100)
+    rows = [(1, 0, 0, 2048, 0)] * 3000 + [(k, 0, 0, 1 + k % 40, 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").withColumn("other", F.lit("x"))
+    placed = packing.place(df.repartition(3)).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in placed}) == len(rows)
+    assert len({r["sequence_id"] for r in placed}) == 3000 + -(-sum(r[3] for r in rows[3000:]) // 2048)
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "word " * 30_000, 5, "a"), (2, "b", 6, "c")], "doc_id long, text string, length int, __salt string")
+    got = packing.pack(df, BYTES).collect()
+    assert {r["doc_id"] for r in got} == {1, 2} and sum(r["length"] for r in got if r["doc_id"] == 1) >= 30_000
+    assert [r["length"] for r in sorted(got, key=lambda r: (r["doc_id"], r["piece"])) if r["doc_id"] == 1][1:] == [2048] * (len(got) - 2)
+
+
 def test_empty_table(no_docs):
     assert packing.pack(no_docs, BYTES).count() == 0

@@ -10,12 +10,15 @@ what is free, found by dynamic programming over a bitset of reachable sums.
 The same filling is taken as often as the counts allow.  Pieces then get their
 rank among those of their length, which names their bin and offset.
 
-Ranks are taken within (length, salt) cells and shifted by the cells before,
-so a length that a third of all pieces have is dealt over many tasks.
+Ranks are taken within (length, salt) cells and shifted by the cells before.
+Each length has a salt for every thousand of its pieces, so a length that a
+third of all pieces have is dealt over many tasks, and a rare one is one cell.
 
 Defined cases: a null text is an empty one and gives one piece holding just
-the end id; rows whose ids are null or repeated are packed like any other; an
-empty table gives no rows.
+the end id; a text of any length is cut into as many pieces as it needs; rows
+whose ids are null or repeated are packed like any other, and repeated rows
+each get a place of their own; an empty table gives no rows; of the columns
+only the id and the text are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, slices, sums_before
 from .tokenizer import encoder
 
 CAPACITY = 2048
@@ -45,14 +48,13 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``, and the piece's ids if asked for."""
-    small_batches(docs.sparkSession)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k, data in zip(b["doc_id"].to_pylist(), enc.encode([x or "" for x in b["text"].to_pylist()]), strict=True):
                 data += end
@@ -120,13 +122,13 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut_pieces = checkpoint(cut_pieces)
     by_length = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, _ = plan(by_length, capacity)
-    salts = max(1, sum(by_length.values()) // CELL)
+    salts = cut_pieces.sparkSession.createDataFrame([(k, -(-n // CELL)) for k, n in by_length.items()], "length long, __salts long")
     # Numbers of checkpointed rows don't change, and tell even repeated rows apart.
-    salted = cut_pieces.withColumn("__at", F.monotonically_increasing_id()).withColumn("__salt", F.pmod(F.xxhash64("__at"), F.lit(salts)))
-    cells = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n"))
-    before = cells.select("length", "__salt", (F.sum("n").over(W.partitionBy("length").orderBy("__salt")) - F.col("n")).alias("__before"))
+    salted = cut_pieces.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64("__at"), F.col("__salts"))).drop("__salts")
+    cells = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
+    before = sums_before(cells, "__salt", "__n", ("length",)).select("length", "__salt", "before")
     within = F.row_number().over(W.partitionBy("length", "__salt").orderBy("__at")) - 1
-    ranked = salted.withColumn("__rank", within).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before"))
+    ranked = salted.withColumn("__rank", within).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("before"))
     table = np.array(sorted((r[0], r[1], r[3], r[4], r[5]) for r in rows), dtype=np.int64).reshape(-1, 5)
     return ranked.select(*cut_pieces.columns, "__rank").mapInArrow(_placer(table), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long")
 
