@@ -58,3 +58,20 @@ def test_null_and_repeated_ids_and_empty_table(spark, no_docs, tmp_path):
     assert got == [(None, 0, 3), (-1, 3, 1), (5, 4, 2), (5, 6, 2)]
     tokenout.write(no_docs, f"{tmp_path}/b", WORDS)
     assert tokenout.read(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_one_id_on_all_rows_is_dealt_over_shards(spark, tmp_path):
+    df = spark.createDataFrame([(7, f"text number {k}", k, "x") for k in range(400)], "doc_id long, text string, start int, record string").repartition(4)
+    tokenout.write(df, f"{tmp_path}/c", WORDS, end_id=2, shards=4)
+    index = spark.read.parquet(f"{tmp_path}/c/index")
+    assert index.select("shard").distinct().count() == 4 and index.count() == 400
+    got = sorted(tuple(r) for r in tokenout.read(spark, f"{tmp_path}/c").select("start", "n_tokens").collect())
+    at = 0
+    for start, n in got:
+        assert start == at
+        at += n
+
+
+def test_a_very_long_text(spark, tmp_path):
+    tokenout.write(spark.createDataFrame([(1, "word " * 200_000)], "doc_id long, text string"), f"{tmp_path}/d", WORDS)
+    assert tokenout.read(spark, f"{tmp_path}/d").first()["n_tokens"] == 200_000

@@ -21,8 +21,10 @@ reading in shuffled order costs no scan.
 Both are written and read by Spark itself, through whatever store the path
 names; a task that is run again replaces its own files when it commits.
 
-Defined cases: a null text is an empty one; null ids come first; rows that
-repeat an id are ordered by their text's hash; an empty table gives no records.
+Defined cases: a null text is an empty one; a text of any length is one record;
+null ids come first; rows that repeat an id are ordered by their text's hash,
+and by it they are dealt over shards too; an empty table gives no records; of
+the columns only the id and the text are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -34,10 +36,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, forget, small_batches, trim
+from .common import estimated_bytes, forget, slices, sums_before, trim
 from .tokenizer import encoder
 
 #: Bytes of input for each shard.  Fixed by what a reader holds of a shard at once.
@@ -78,19 +79,15 @@ def _shards(docs: DataFrame) -> int:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, doc_id: str = "doc_id", text: str = "text", shards: int | None = None) -> None:
     """Write ``path/data`` and ``path/index``.  One shuffle, of the texts."""
     spark = docs.sparkSession
-    small_batches(spark)
     shards = shards or _shards(docs)
-    ordered = (
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
-    )
+    order = F.col("doc_id"), F.xxhash64("text")
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         width = 2 if enc.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         tail = np.array([] if end_id is None else [end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             found = enc.encode([x or "" for x in b["text"].to_pylist()])
             framed = [frame(k, np.frombuffer(x + tail, dtype="<u4"), width) for k, x in zip(b["doc_id"].to_pylist(), found, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(framed, type=pa.binary())], ["record"])
@@ -104,7 +101,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Read every record of ``path/data`` back and verify it."""
-    small_batches(spark, 1)  # a row is a whole shard here
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,9 +134,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Shard files are numbered in the order of their ids, so a document starts
     where its shard does, after the ids of all shards before, plus its place
-    there.  One total for each shard is what the window sums.
+    there.
     """
     index = spark.read.parquet(f"{path}/index")
-    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    first = totals.select("shard", (F.sum("n").over(W.orderBy(F.regexp_extract("shard", r"^part-(\d+)", 1).cast("int"))) - F.col("n")).alias("first"))
-    return records(spark, path).join(first, "shard").select("doc_id", (F.col("first") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
+    totals = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("nth", F.regexp_extract("shard", r"^part-(\d+)", 1).cast("int"))
+    first = sums_before(totals, "nth", "n").select("shard", "before")
+    return records(spark, path).join(first, "shard").select("doc_id", (F.col("before") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32")
