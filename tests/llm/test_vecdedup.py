@@ -71,6 +71,32 @@ def test_passes_grow_with_the_logarithm_of_the_input():
     assert vecdedup.PASSES < vecdedup.passes_for(10**7) < vecdedup.passes_for(10**9) < 100
 
 
+def test_vectors_of_a_common_direction_are_split(spark):
+    """Pairs near the threshold are found although all vectors of the label lean one way."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(np.sqrt(0.7) * unit(rng.normal(size=32)) + np.sqrt(0.3) * unit(rng.normal(size=(3000, 32))))
+    aside = rng.normal(size=(500, 32))
+    aside = unit(aside - (aside * base[:500]).sum(1, keepdims=True) * base[:500])
+    pairs = 0.94 * base[:500] + np.sqrt(1 - 0.94**2) * aside
+    x = np.vstack([base, pairs]).astype("f4").astype(float)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)]
+    links = (unit(x) @ unit(x).T >= 0.93).sum(1) - 1
+    got = found(vecdedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), window=32))
+    assert sum(n for n, _ in got.values()) >= 0.95 * links.sum() and links.sum() >= 1000
+    assert vecdedup.passes_for(10**6, spread=0.5) > 2 * vecdedup.passes_for(10**6)
+
+
+def test_blocks_of_a_large_component_that_is_not_dense(spark, monkeypatch):
+    monkeypatch.setattr(vecdedup, "BLOCK", 8)
+    monkeypatch.setattr(vecdedup, "LARGEST_BLOCK", 64)
+    turn = np.sort(np.random.default_rng(9).random(600)) * 2 * np.pi
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))], 1) for k, a in enumerate(turn)]
+    want = brute.cosine_links(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert found(vecdedup.near_duplicates(df)) == want
+
+
 def test_a_core_is_counted_without_comparing_it(spark):
     """300 vectors within the core, and some that link with only part of it."""
     rng = np.random.default_rng(2)

@@ -1,31 +1,40 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass hashes every vector by random hyperplanes, one bit each, and orders
-vectors lexicographically by the bits one after the other.  Near vectors agree
-in many leading bits in some pass and come to stand near each other; each is
-compared, in double precision, with its neighbours of a bounded window.  What
-a window finds is reduced to a spanning forest of it, so a window sends on
-fewer links than it has vectors.  Links of all passes make components.
+Each pass hashes every vector, less the mean of its label, by random
+hyperplanes, one bit each, and orders vectors lexicographically by the bits one
+after the other.  Near vectors agree in many leading bits in some pass and come
+to stand near each other; each is compared, in double precision, with its
+neighbours of a bounded window.  What a window finds is reduced to a spanning
+forest of it, so a window sends on fewer links than it has vectors.  Links of
+all passes make components.  Planes through a label's mean halve its vectors
+even where they share a direction; how far they spread about the mean, and how
+many they are, tells how many passes are needed.
 
 Numbers of links are then counted within components, exactly and without
 listing pairs.  Vectors within half the threshold's angle of their component's
 mean are its core: by the triangle inequality any two of them are linked, so a
 group of near copies of any size is counted by one sum.  The others are
 compared with every vector of their component in square blocks, which yield
-counts; no task holds more than two blocks.
+counts; no task holds more than two blocks.  Blocks grow with their component
+up to 2048 vectors, so a vector is sent to about 16 blocks, and to more only
+where a component has over 32,768 vectors and is not dense.
 
 Equal vectors of one label meet before the passes and count as often as they
 stand there.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and those without a label, link with nothing; vectors of different
-lengths aren't compared; repeated ids stay repeated and count as vectors; null
-ids link like others, and a component's id is its smallest that isn't null.
+lengths aren't compared; very long vectors are compared whole; repeated ids
+stay repeated and count as vectors; null ids link like others, and a
+component's id is its smallest that isn't null; an empty table gives no rows;
+of the columns only the three named ones are read, so others may have any
+names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -39,40 +48,76 @@ from .components import components
 THRESHOLD = 0.93
 #: Passes made at least, and the share of pairs at the threshold itself that passes are meant to bring together.
 PASSES, RECALL = 12, 0.95
+#: Passes made at most; reached by labels whose vectors lie so close together that most of them are linked.
+MOST_PASSES = 128
 #: A vector is compared with at least this many neighbours before it in a pass.
 WINDOW = 256
 BITS = 48
-#: Vectors of a square block.
-BLOCK = 128
+#: Vectors of a square block, at least and at most, and blocks that a component has meanwhile.
+BLOCK, LARGEST_BLOCK, BLOCKS = 128, 2048, 16
 
 
-def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD) -> int:
-    """Passes for ``n`` vectors of one label.
+def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD, spread: float = 1.0) -> int:
+    """Passes for ``n`` vectors of one label that lie ``spread`` from their mean on the average.
 
     A window holds what shares the first log2(n / window) bits; two vectors
-    share a bit with the odds that a plane doesn't fall between them.
+    share a bit with the odds that a plane doesn't fall between them, which
+    depends on their angle as seen from the mean.
     """
     bits = max(0.0, np.log2(max(1, n) / window))
-    together = (1 - np.arccos(threshold) / np.pi) ** bits
-    return PASSES if together >= 1 else max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - together))))
+    half_chord = np.sqrt((1 - threshold) / 2) / max(spread, 1e-9)
+    together = (1 - 2 * np.arcsin(min(half_chord, np.sqrt(0.5))) / np.pi) ** bits
+    return PASSES if together >= 1 else min(MOST_PASSES, max(PASSES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - together)))))
 
 
-def _normal(batch: list) -> np.ndarray:
-    x = np.array([np.asarray(v, dtype=np.float64) for v in batch])
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _normal(batch: list) -> np.ndarray:
+    return _unit(np.array([np.asarray(v, dtype=np.float64) for v in batch]))
+
+
+def _by_length(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimensions, rows, their vectors of length 1) of a batch."""
+    v = b["v"]
+    dims = v.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, _unit(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum and number of a batch's vectors for each label."""
+    for b in batches:
+        group = b["group"].to_numpy(zero_copy_only=False)
+        for _, at, x in _by_length(b):
+            names, which = np.unique(group[at], return_inverse=True)
+            total = np.zeros((len(names), x.shape[1]))
+            np.add.at(total, which, x)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(which)), pa.array(list(total), pa.list_(pa.float64()))], ["group", "n", "total"])
+
+
+def _means(units: DataFrame) -> DataFrame:
+    """(group, n, mean, spread): the mean of each label's vectors, and how far they lie from it."""
+    some = checkpoint(units.select("group", "v").mapInArrow(_sums, "group long, n long, total array<double>"))
+    n = some.groupBy("group").agg(F.sum("n").alias("n"))
+    sums = some.select("group", F.posexplode("total").alias("k", "x")).groupBy("group", "k").agg(F.sum("x").alias("x"))
+    listed = sums.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("m")).join(n, "group")
+    mean = F.transform("m.x", lambda x: x / F.col("n"))
+    found = listed.select("group", "n", mean.alias("mean"))
+    return checkpoint(found.withColumn("spread", F.sqrt(F.greatest(F.lit(0.0), 1 - _dot(F.col("mean"), F.col("mean"))))))
+
+
 def _codes(passes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(BITS, dtype=np.int64)[::-1]
         for b in batches:
             unit, group, tie = (b[c].to_numpy(zero_copy_only=False) for c in ("unit", "group", "h1"))
-            vectors = [v.as_py() for v in b["v"]]
-            dims = np.array([len(v) for v in vectors])
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                x = _normal([vectors[i] for i in at])
+            for dim, at, x in _by_length(b):
+                x = x - b["mean"].take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 for k in range(passes):
                     planes = np.random.default_rng((seed, k, dim)).standard_normal((dim, BITS))
                     code = ((x @ planes > 0) @ weights).astype(np.int64)
@@ -122,11 +167,15 @@ def _degrees(threshold: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, n, side = _normal(pdf["v"].tolist()), pdf["n"].to_numpy(np.int64), pdf["side"].to_numpy(bool)
-        linked = x @ x.T >= threshold
-        np.fill_diagonal(linked, False)
-        if not pdf["within"].iloc[0]:
-            linked &= side[:, None] != side[None, :]
-        return pd.DataFrame({"unit": pdf["unit"], "links": linked @ n})
+        links, within = np.zeros(len(x), dtype=np.int64), pdf["within"].iloc[0]
+        for at in range(0, len(x), 256):
+            part = slice(at, at + 256)
+            linked = x[part] @ x.T >= threshold
+            linked[np.arange(len(linked)), np.arange(at, at + len(linked))] = False
+            if not within:
+                linked &= side[part, None] != side[None, :]
+            links[part] = linked @ n
+        return pd.DataFrame({"unit": pdf["unit"], "links": links})
 
     return run
 
@@ -137,7 +186,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(unit, links) for members (component, unit, v, n) of components."""
-    members = members.withColumn("most", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.col("most"))).drop("most")
+    members = members.withColumn("v", F.col("v").cast("array<double>")).withColumn("most", F.array_max(F.transform("v", F.abs))).withColumn("v", F.transform("v", lambda x: x / F.col("most"))).drop("most")
     members = checkpoint(members.withColumn("norm", F.sqrt(_dot(F.col("v"), F.col("v")))))
     sums = members.select("component", "norm", F.posexplode("v").alias("k", "x")).groupBy("component", "k").agg(F.avg(F.col("x") / F.col("norm")).alias("x"))
     means = checkpoint(sums.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("m")).select("component", F.col("m.x").alias("mean")))
@@ -149,7 +198,8 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     )
     known = placed.join(sizes, "component")
     within_core = known.filter("core").select("unit", (F.col("core_n") - F.col("n")).alias("links"))
-    blocks = {c: F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_core", "n_rest")}
+    wide = F.least(F.lit(LARGEST_BLOCK), F.greatest(F.lit(BLOCK), F.ceil((F.col("n_core") + F.col("n_rest")) / BLOCKS)))
+    blocks = {c: F.ceil(F.col(c) / wide).cast("int") for c in ("n_core", "n_rest")}
     spread = lambda n: F.pmod(F.xxhash64("unit", F.lit(3)), n).cast("int")
     each = lambda n: F.sequence(F.lit(0), n - 1)
     some = known.filter("n_rest > 0")
@@ -169,24 +219,26 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, seed: int = 5) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row."""
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     v = F.col(embedding)
     usable = F.col(label).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     # 128 bits name a vector together with its label
     marks = [F.when(usable, F.xxhash64(F.col(label).cast("string"), v, F.lit(salt))).alias(f"h{salt}") for salt in (1, 2)]
     rows = checkpoint(vectors.select(F.col(vec_id).alias("vec_id"), *marks))
-    known = vectors.select(F.col(vec_id).alias("vec_id"), F.xxhash64(F.col(label).cast("string"), F.size(v)).alias("group"), v.cast("array<double>").alias("v"), *marks).filter("h1 is not null")
+    known = vectors.select(F.col(vec_id).alias("vec_id"), F.xxhash64(F.col(label).cast("string"), F.size(v)).alias("group"), v.alias("v"), *marks).filter("h1 is not null")
     units = checkpoint(known.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("group").alias("group"), F.first("v").alias("v")).withColumn("unit", F.monotonically_increasing_id()))
+    means = _means(units)
     if passes is None:
-        largest = units.groupBy("group").count().agg(F.max("count").alias("n")).first()["n"]
-        passes = passes_for(largest or 0, window, threshold)
+        # A spread in hundredths, and the largest label of it: a bounded table.
+        labels = means.groupBy(F.floor(F.col("spread") * 100).alias("spread")).agg(F.max("n").alias("n")).collect()
+        passes = max([PASSES, *(passes_for(r["n"], window, threshold, (r["spread"] + 0.5) / 100) for r in labels)])
 
-    codes = units.select("unit", "h1", "group", "v").mapInArrow(_codes(passes, seed), "nth int, group long, code long, h1 long, unit long")
+    centred = units.select("unit", "h1", "group", "v").join(means.select("group", "mean"), "group")
+    codes = centred.mapInArrow(_codes(passes, seed), "nth int, group long, code long, h1 long, unit long")
     order = ["nth", "group", "code", "h1", "unit"]
     listed = checkpoint(checkpoint(codes).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part, nth_in_part = F.shiftright("at", 33).cast("int"), F.col("at").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r["part"], r["n"]) for r in listed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
-    offsets = [(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes] or [(0, 0)]
+    offsets = [(p, at) for (p, _), at in zip(sizes, accumulate((n for _, n in sizes), initial=0))] or [(0, 0)]  # noqa: B905
     offsets = F.broadcast(spark.createDataFrame(offsets, "part int, offset long"))
     block = F.floor((F.col("offset") + nth_in_part) / window).cast("long")
     twice = F.explode(F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block + 1).alias("block"), F.lit(False).alias("own"))))
