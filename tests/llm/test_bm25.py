@@ -54,6 +54,58 @@ def test_shards_and_blocks_do_not_change_results(words):
             assert [d for d, _ in hits] == [d for d, _ in want[q]]
 
 
+@pytest.fixture(scope="module")
+def many():
+    """One shard of over 100 blocks whose terms run from very common to rare, and queries with their weights."""
+    rng = random.Random(8)
+    vocabulary = [f"t{i}" for i in range(3000)]
+    weights = [1 / (1 + i) for i in range(3000)]
+    pairs = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.randint(3, 30)))) for k in range(7000)]
+    counts = [(k, bm25.terms(t)) for k, t in pairs]
+    df, n = {}, len(pairs)
+    for _, (names, _) in counts:
+        for t in names.tolist():
+            df[t] = df.get(t, 0) + 1
+    queries = []
+    for q, text in pairs[::140]:
+        names, asked = bm25.terms(text)
+        queries.append((q, text, names, asked * np.array([np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) for t in names.tolist()])))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bm25, "BLOCK", 64)
+        yield pairs, bm25.Shard(bm25.build(counts), sum(int(c.sum()) for _, (_, c) in counts) / n), queries
+
+
+def test_pruning_over_many_blocks(many):
+    pairs, shard, queries = many
+    assert shard.n_blocks > 100
+    want = brute.bm25(pairs, [q[:2] for q in queries], 10)
+    beyond = 0
+    for q, _, names, weights in queries:
+        for least in (0.0, want[q][-1][1]):  # alone, and with the threshold of other shards
+            ids, _ = shard.top(names, weights, 10, least)
+            assert ids.tolist() == [d for d, _ in want[q]]
+        slots = {int(k): i for i, k in enumerate(shard.ids)}
+        beyond += len({slots[d] // bm25.BLOCK for d, _ in want[q]}) > 1
+    assert beyond > len(queries) / 2
+    assert shard.read < 0.8 * shard.held  # postings that were never read
+
+
+def test_rounds_after_the_first_find_what_it_misses(many, monkeypatch):
+    """Were blocks beyond the first round left out, results would differ, so the test above reaches them."""
+    pairs, shard, queries = many
+    want = brute.bm25(pairs, [q[:2] for q in queries], 10)
+    slots, missed = {int(k): i for i, k in enumerate(shard.ids)}, 0
+    for q, _, names, weights in queries:
+        at = np.searchsorted(shard.terms, names)
+        whole = np.zeros(shard.n_blocks)
+        for t, w in zip(at, weights, strict=True):
+            some = slice(shard.entries[t], shard.entries[t + 1])
+            whole[shard.block[some]] += shard.most[some] * w
+        first = set(np.argsort(-whole, kind="stable")[: bm25.FIRST_BLOCKS].tolist())
+        missed += any(slots[d] // bm25.BLOCK not in first for d, _ in want[q])
+    assert missed > len(queries) / 4
+
+
 def test_defined_cases(spark, no_docs):
     df = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9), (None, "a b", 9), (2, None, 9), (3, "", 9), (4, "...", 9)], "doc_id long, text string, rank int")
     got = bm25.search(df, df, 2).collect()

@@ -1,31 +1,43 @@
-"""Exact top-k search by BM25: an inverted index in shards, pruned by block maxima.
+"""Exact top-k search by BM25: an inverted index in shards, pruned by block-max WAND.
 
 Every partition of the documents builds shards of bounded size; a shard is one
 row that holds its postings, sorted by term and document, as packed arrays.
 Document counts, total length and document frequencies are summed over all
 shards, so scores don't depend on how documents fell into shards.
 
-Documents of a shard stand in blocks of 256, and each term knows its largest
-contribution to a score in each block it occurs in.  A query sums those to an
-upper bound for each block, scores the documents of the most promising blocks,
-and from then on only blocks whose bound reaches its k-th best score: the
-pruning rule of block-max WAND, applied to all blocks of a shard at once
-instead of cursor by cursor.  No document that belongs to the top k is passed
-over, so merging lists gives the exact top k.
+Documents of a shard stand in blocks of 128, and each term knows its largest
+contribution to a score in each block it occurs in.  A query's terms are
+ordered from the least such contribution to the greatest, and in each block
+contributions are summed in that order.  The term whose sum reaches the query's
+k-th best score so far is the block's *pivot*: a document that holds only terms
+before it can't be among the best, so only postings from the pivot on are read.
+They give each document they name a partial score; where that and the sum
+before the pivot don't reach the threshold together, the document is passed
+over.  What stands before the pivot is read in steps, greatest terms first;
+after each step less can still be added, and more documents are passed over.
+Postings of the steps are sought one by one for the documents left, or, where
+these are many, read in blocks that hold one of them.  Blocks go from the most promising down, in rounds, and the threshold
+rises with each round; a block whose whole sum doesn't reach it isn't read at
+all.  That is WAND's rule with block maxima (Broder et al., 2003; Ding and
+Suel, 2011), with all of a round's blocks advanced at once instead of cursor by
+cursor.  No document that belongs to the top k is passed over, so merging the
+lists of shards gives the exact top k.
 
 A task holds one block of up to QUERY_BLOCK queries, packed, and lets the
 shards of one group pass by, one at a time; a query's k-th best score so far
 goes with it from shard to shard.  There are as many groups and blocks as keep
-the cluster busy: fewer groups mean fewer copies of the queries and fewer
-partial results.
+the cluster busy, and as keep what a task reads below TASK_BYTES: fewer groups
+mean fewer copies of the queries and fewer partial results.
 
 Terms are runs of letters and digits, lower-cased, named by 64-bit hashes.  A
 term that a query repeats counts as often.  Documents of one score are ordered
 by id.
 
 Defined cases: null and empty texts have no terms, match nothing and as
-queries return nothing; each row of a repeated id is a document and a query of
-its own; null ids come last among equal scores.
+queries return nothing; a text of any length is indexed whole, and closes its
+shard early; each row of a repeated id is a document and a query of its own;
+null ids come last among equal scores; an empty table of either kind gives no
+rows; of the columns only id and text are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -41,21 +53,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, forget, small_batches, trim
+from .common import arrow_rows, checkpoint, forget, slices, trim
 
 K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS = 8192
 SHARD_CHARS = 32 << 20
-BLOCK = 256
+BLOCK = 128
 #: Queries that one task holds; about 5 kB each.
 QUERY_BLOCK = 16_384
-#: Shards that pass through one task at most, so that tasks stay short enough to be run again.
-SHARDS_A_TASK = 64
+#: Bytes of shards that pass through one task on the average, so that tasks stay short enough to be run again.
+TASK_BYTES = 512 << 20
 #: Tasks for each core, so that uneven ones even out.
 TASKS_A_CORE = 2
-#: Blocks scored before any is passed over.
-FIRST_BLOCKS = 16
+#: Blocks of a shard's first round; each further round takes so many times more.
+FIRST_BLOCKS, MORE = 16, 8
+#: Shares of the threshold that the unread sums of a block go down to, step by step.
+DESCENT = (1.0, 0.5, 0.25, 0.1, 0.0)
+#: A posting sought costs about as much as so many read in a row.
+SEEK = 8
 NO_ID = -(1 << 63)
 #: Far above rounding in a sum, far below a difference of scores that matters.
 SLACK = 1e-9
@@ -111,7 +127,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = int(np.frombuffer(s["lengths"], "<i8").sum())
         return pa.RecordBatch.from_arrays([pa.array([len(docs)], pa.int64()), pa.array([total], pa.int64()), *(pa.array([s[c]], pa.binary()) for c in SHARD)], ["n_docs", "n_terms", *SHARD])
 
-    for b in batches:
+    for b in slices(batches):
         for k, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
             docs.append((k, terms(text)))
             chars += len(text or "")
@@ -133,7 +149,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         q, t, n = [], [], []
         for k, text in zip(b["query"].to_pylist(), b["text"].to_pylist(), strict=True):
             names, counts = terms(text)
@@ -157,6 +173,7 @@ class Shard:
         self.ids, length = get("ids", "<i8"), get("lengths", "<i8")
         self.terms, self.slots, tf = get("terms", "<u8"), get("slots", "<u2").astype(np.int64), get("tf", "<i4")
         starts = np.append(get("starts", "<i4").astype(np.int64), len(tf))
+        self.keys = np.repeat(np.arange(len(self.terms)) << 16, np.diff(starts)) | self.slots
         norm = K1 * (1 - B + B * length / mean_length)
         self.impact = tf * (K1 + 1) / (tf + norm[self.slots])
         block = self.slots // BLOCK
@@ -168,6 +185,9 @@ class Shard:
         self.most = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
         self.entries = np.searchsorted(entry, starts)
         self.n_blocks = len(self.ids) // BLOCK + 1
+        self.block_of = np.arange(len(self.ids)) // BLOCK
+        #: Postings of the queries' terms, and those that were read.
+        self.held = self.read = 0
 
     def top(self, names: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best documents, best first, unless below ``least``."""
@@ -176,22 +196,44 @@ class Shard:
         known[known] = self.terms[at[known]] == names[known]
         at, weights = at[known], weights[known]
         first, last = self.entries[at], self.entries[at + 1]
-        entry, weight = _ranges(first, last), np.repeat(weights, last - first)
+        entry, weight, term = _ranges(first, last), np.repeat(weights, last - first), np.repeat(np.arange(len(at)), last - first)
         block = self.block[entry]
-        bound = np.bincount(block, self.most[entry] * weight, self.n_blocks)
-        promising = np.flatnonzero((bound > 0) & (bound >= least - SLACK))
-        if not len(promising):
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        if len(promising) > FIRST_BLOCKS:
-            promising = promising[np.argpartition(-bound[promising], FIRST_BLOCKS)[:FIRST_BLOCKS]]
-        chosen, scores = np.zeros(self.n_blocks, dtype=bool), np.zeros(len(self.ids))
-        chosen[promising] = True
-        self._add(scores, entry, weight, chosen[block])
-        if len(scores) > k:
-            least = max(least, float(np.partition(scores, -k)[-k]))
-        rest = ~chosen & (bound >= least - SLACK) & (bound > 0)
-        if rest.any():
-            self._add(scores, entry, weight, rest[block])
+        self.held += int((self.first[last] - self.first[first]).sum())
+        # Sums of block maxima, from the least term to the greatest.
+        sums = np.zeros((len(at), self.n_blocks))
+        sums[term, block] = self.most[entry] * weight
+        order = np.argsort(sums.max(1, initial=0.0), kind="stable")
+        place = np.empty(len(at), dtype=np.int64)
+        place[order] = np.arange(len(at))
+        sums = np.cumsum(sums[order], axis=0)
+        whole = sums[-1] if len(at) else np.zeros(self.n_blocks)
+        reached = sums[place[term], block]
+        todo = np.flatnonzero(whole > 0)
+        todo = todo[np.argsort(-whole[todo], kind="stable")]
+        scores, taken, size = np.zeros(len(self.ids)), 0, FIRST_BLOCKS
+        while taken < len(todo) and whole[todo[taken]] >= least - SLACK:
+            some = np.zeros(self.n_blocks, dtype=bool)
+            some[todo[taken : taken + size]] = True
+            some &= whole >= least - SLACK
+            here = np.flatnonzero(some[block])
+            height = reached[here]
+            left, above = None, np.inf
+            for step in DESCENT if least > 0 else (0.0,):
+                bar = step * least - SLACK
+                now = here[(height >= bar) & (height < above)]
+                if left is None:
+                    self._add(scores, entry, weight, now)
+                elif len(now):
+                    self._complete(scores, left, now, entry, weight, term, at, weights)
+                if step:
+                    rest = np.where(sums < bar, sums, 0.0).max(0, initial=0.0)[self.block_of]
+                    out = some[self.block_of] & (scores + rest < least - SLACK)
+                    scores[out] = 0.0
+                    left = np.flatnonzero(some[self.block_of] & (scores > 0))
+                above = bar
+            taken, size = taken + size, size * MORE
+            if len(scores) > k:
+                least = max(least, float(np.partition(scores, -k)[-k]))
         found = np.flatnonzero((scores > 0) & (scores >= least - SLACK))
         return best(self.ids[found], scores[found], k)
 
@@ -199,8 +241,28 @@ class Shard:
         entry, weight = entry[wanted], weight[wanted]
         first, last = self.first[entry], self.first[entry + 1]
         posting = _ranges(first, last)
+        self.read += len(posting)
         scores += np.bincount(self.slots[posting], self.impact[posting] * np.repeat(weight, last - first), len(scores))
 
+    def _complete(self, scores: np.ndarray, left: np.ndarray, now: np.ndarray, entry: np.ndarray, weight: np.ndarray, term: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
+        """Add what entries ``now`` give the documents ``left``: sought one by one, or read with their blocks."""
+        counts = np.bincount(self.block_of[left], minlength=self.n_blocks)[self.block[entry[now]]]
+        now, counts = now[counts > 0], counts[counts > 0]
+        if counts.sum() * SEEK >= (self.first[entry[now] + 1] - self.first[entry[now]]).sum():
+            open_ = np.zeros(len(scores), dtype=bool)
+            open_[left] = True
+            self._add(scores, entry, weight, now)
+            scores[~open_ & np.isin(self.block_of, self.block_of[left])] = 0.0
+            return
+        # left is in ascending order, so a block's documents stand together
+        first = np.searchsorted(self.block_of[left], self.block[entry[now]])
+        docs, terms = left[_ranges(first, first + counts)], np.repeat(term[now], counts)
+        keys = at[terms] << 16 | docs
+        posting = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[posting] == keys
+        self.read += int(hit.sum())
+        scores += np.bincount(docs[hit], self.impact[posting[hit]] * weights[terms[hit]], len(scores))
+
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best, best first; equal scores by id, null ids last."""
@@ -256,20 +318,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each shard, numbered from 0."""
-    small_batches(docs.sparkSession)
+    """One row for each shard; ``at`` names it."""
     kinds = ", ".join(f"{c} binary" for c in SHARD)
     built = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_shards, f"n_docs long, n_terms long, {kinds}")
-    built = checkpoint(built.withColumn("at", F.monotonically_increasing_id()))
-    numbers = built.select("at").withColumn("shard", F.row_number().over(W.orderBy("at")) - 1)  # a row for each shard
-    return built.join(F.broadcast(numbers), "at").drop("at")
+    return checkpoint(built.withColumn("at", F.monotonically_increasing_id()))
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc_id", text: str = "text", query_id: str = "doc_id", query_text: str = "text") -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the k best documents for each row of ``queries``."""
     spark = docs.sparkSession
     shards = index(docs, doc_id, text)
-    n_shards, n_docs, n_terms = shards.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+    held_bytes = sum((F.octet_length(c) for c in SHARD), F.lit(0))
+    n_shards, n_docs, n_terms, n_bytes = shards.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_docs", "n_terms", held_bytes)]).first()
     mean_length = max(1.0, n_terms / max(1, n_docs))
     df = shards.select("terms", "starts", "slots").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     asked = checkpoint(queries.select(F.monotonically_increasing_id().alias("query"), F.col(query_id).cast("long").alias("query_id"), F.col(query_text).alias("text")))
@@ -278,17 +338,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc
     known = weighed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
     known = checkpoint(known.mapInArrow(_pack, "query long, terms binary, weights binary"))
     blocks = max(1, -(-known.count() // QUERY_BLOCK))
-    groups = max(1, -(-n_shards // SHARDS_A_TASK), min(n_shards, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // blocks)))
+    groups = max(1, -(-n_bytes // TASK_BYTES), min(n_shards, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // blocks)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     binary = lambda c: F.lit(None).cast("binary").alias(c)
     task = F.col("part") * groups + F.col("group")
     sent = known.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
     sent = sent.select(task.alias("task"), F.lit(0).alias("kind"), F.col("query").alias("seq"), "weights", *["terms" if c == "terms" else binary(c) for c in SHARD])
-    held = shards.withColumn("group", (F.col("shard") % groups).cast("int")).withColumn("part", each(blocks))
-    held = held.select(task.alias("task"), F.lit(1).alias("kind"), F.col("shard").cast("long").alias("seq"), binary("weights"), *SHARD)
-    small_batches(spark, 4)  # a row may be a whole shard
+    held = shards.withColumn("group", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int")).withColumn("part", each(blocks))
+    held = held.select(task.alias("task"), F.lit(1).alias("kind"), F.col("at").alias("seq"), binary("weights"), *SHARD)
     dealt = sent.union(held).repartitionById(blocks * groups, "task").sortWithinPartitions("task", "kind", "seq")
-    found = dealt.mapInArrow(_search(k, mean_length), "query long, doc_id long, score double")
+    with arrow_rows(spark, 4):  # a row may be a whole shard
+        found = checkpoint(dealt.mapInArrow(_search(k, mean_length), "query long, doc_id long, score double"))
     named: Column = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     by_score = W.partitionBy("query").orderBy(F.round("score", 9).desc(), F.col("doc_id").asc_nulls_last())
     merged = found.withColumn("doc_id", named).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
