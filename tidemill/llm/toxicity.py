@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, forget, small_batches
+from .common import checkpoint, forget
 from .quality import labelled
 
 #: Labelled documents that a fit takes at most.
@@ -258,7 +258,6 @@ def _weight(toxic: int, clean: int, toxic_docs: int, clean_docs: int) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, bound: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], dict[str, float]]:
     """(words, stems) with weights, from at most ``bound`` labelled documents."""
-    small_batches(docs.sparkSession)
     some = checkpoint(labelled(docs, labels, column, folds, held_out, bound, doc_id, text))
     totals = some.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     if not totals[0]:
@@ -300,5 +299,4 @@ def score(model: tuple[dict[str, float], dict[str, float]], text: Column) -> Col
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (1: toxic); columns of these names are replaced."""
     model = fit(docs, labels, doc_id=doc_id, text=text, **how)
-    small_batches(docs.sparkSession)
     return docs.withColumn("score", score(model, F.col(text))).withColumn("predicted", (F.col("score") >= LEVEL).cast("int"))
