@@ -123,9 +123,9 @@ def word_count(text: Column) -> Column:
 
 
 def fold(doc_id: str | Column, folds: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``folds``."""
+    """crc32 of the id's decimal text, modulo ``folds``; -1, which is no fold, for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds))
+    return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds)), F.lit(-1))
 
 
 def estimated_bytes(df: DataFrame) -> int:
