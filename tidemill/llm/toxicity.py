@@ -13,38 +13,44 @@ and word beginnings that toxic documents hold and others don't.  Candidates
 are counted over the sample by Spark; a greedy cover then takes those that
 explain toxic documents not explained twice yet, so rare words that copies of
 one toxic document merely share are not taken.  Copies count once: documents
-of which one of four minimum shingle hashes agrees are one class.
-
-Only places where a word of the lexicon stands are read by the grammar; an
-Aho-Corasick automaton finds them in whole texts of any length.
-
-Defined cases: null and empty texts score 0; without toxic labels the lexicon
-is empty and only threats score; where labels repeat an id its lowest label
-counts.
+of which one of four minimum shingle hashes agrees are one class.  Candidates
+are as bounded as the sample: each needs several words of its toxic documents.
+
+Clauses are read whole, from the sign that ends the one before to the sign
+that ends them, however long they are; those without a word of the lexicon or
+a threat weigh nothing and are passed over.  An Aho-Corasick automaton finds
+the others in whole texts of any length.
+
+Defined cases: null and empty texts score 0; a text of any length is read
+whole, and one without ends of clauses is one clause; without toxic labels the
+lexicon is empty and only threats score; where labels repeat an id its lowest
+label counts; labels of null ids and null labels don't count, and a null id is
+in no fold; of rows that repeat a labelled id the one whose text has the
+smallest hash is learned from; repeated rows stay repeated and score alike; an
+empty table gives no rows; columns named like the results are replaced, others
+are left alone.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import product
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, forget
-from .quality import labelled
+from .common import checkpoint, each_text, forget, slices
+from .quality import labelled, one_each
 
 #: Labelled documents that a fit takes at most.
 SAMPLE = 16_000
-#: Candidate patterns that reach the driver at most.
-CANDIDATES = 4000
 FOLDS, HELD_OUT = 4, 2
 #: At this score and above a document is toxic.
 LEVEL = 0.3
@@ -60,7 +66,11 @@ STEMS = (4, 5, 6, 7, 8)
 TARGETS = frozenset("you your u he she they him her them his their du dich dir ihr euch er sie ihn tu te toi vous il elle ils lui leur usted ustedes ti vosotros él ella ellos".split())
 NEGATIONS = frozenset("not no never nobody isn't aren't don't nicht kein keine nie niemals ne pas jamais aucun aucune nunca jamás ni tampoco".split())
 REPORTS = frozenset("said says say wrote claims claimed called calling quoted quote alleged sagte schrieb nannte behauptet dit disait écrit appelé prétend dijo dice escribió llamó".split())
-THREATS = frozenset("kill murder hurt destroy stab shoot beat strangle töten umbringen verletzen tuer frapper détruire matar golpear destruir".split())
+# Threatening verbs as stem and endings; "-" is the stem alone.  Fixed values.
+VERBS = """kill - s ing ed; murder - s ing ed; hurt - s ing; destroy - s ing ed; stab - s bing bed; shoot - s ing; shot -; beat - s ing en; strangl e es ing ed;
+töt e est et en ete eten; getötet -; umbring e st t en; umgebracht -; umzubringen -; verletz e t en te ten;
+tu er es ent erai era erons eront é; frapp er e es ent erai era é; détrui re s t sent rai ra; mat ar o an aré ará arán ado ando; golpe ar o a an aré ará ado ando; destru ir yo ye yen iré irá ido yendo"""
+THREATS = frozenset(stem + ending.strip("-") for verb in VERBS.split(";") for stem, *endings in [verb.split()] for ending in endings)
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, WORD = range(6)
 CLASSES = range(6)
@@ -119,8 +129,6 @@ START = (0, 0, 0, 0, 0)
 
 _CLAUSE_END = re.compile(r"[.!?;:|\n]")
 _WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-#: Characters read to either side of a hit for the ends of its clause.
-REACH = 400
 
 
 class Lexicon:
@@ -141,16 +149,17 @@ class Lexicon:
 
     def clauses(self, text: str) -> Iterator[str]:
         """Clauses of a lower-cased text in which a pattern begins a word."""
+        ends: list[int] = []
         done = 0
         for end, x in self.automaton.iter(text):
             at = end - len(x) + 1
             if at < done or (at and text[at - 1].isalnum()) or (x not in self.stems and end + 1 < len(text) and text[end + 1].isalnum()):
                 continue
-            before = [m.end() for m in _CLAUSE_END.finditer(text, max(done, at - REACH), at)]
-            first = before[-1] if before else max(done, at - REACH)
-            last = _CLAUSE_END.search(text, at, at + REACH)
-            done = last.start() if last else min(len(text), at + REACH)
-            yield text[first:done]
+            if not ends:
+                ends = [m.start() for m in _CLAUSE_END.finditer(text)]
+            nth = bisect_right(ends, at)
+            done = ends[nth] if nth < len(ends) else len(text)
+            yield text[ends[nth - 1] + 1 if nth else 0 : done]
 
     def clause_weight(self, clause: str) -> float:
         state, total = START, 0.0
@@ -170,7 +179,7 @@ def patterns(text: str | None) -> Counter[str]:
 
     A beginning counts once for each different word that has it.
     """
-    words = {w for w in _WORDS.findall((text or "").lower()) if 3 <= len(w) <= 24}
+    words = set(_WORDS.findall((text or "").lower()))
     return Counter([*words, *(f"{w[:n]}*" for w in words for n in STEMS if len(w) > n)])
 
 
@@ -192,7 +201,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["pattern", "toxic", "clean"])
 
-    for b in batches:
+    for b in slices(batches):
         for text, y in zip(b["text"].to_pylist(), b["y"].to_pylist(), strict=True):
             for x, n in patterns(text).items():
                 counts[x][0 if y else 1] += n
@@ -258,22 +267,22 @@ def _weight(toxic: int, clean: int, toxic_docs: int, clean_docs: int) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, bound: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], dict[str, float]]:
     """(words, stems) with weights, from at most ``bound`` labelled documents."""
-    some = checkpoint(labelled(docs, labels, column, folds, held_out, bound, doc_id, text))
+    some = checkpoint(one_each(labelled(docs, labels, column, folds, held_out, bound, doc_id, text), F.col("text")))
     totals = some.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     if not totals[0]:
         return {}, {}
     counted = some.select("text", "y").mapInArrow(_count, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     allowed = max(3, totals[1] // 2000)
-    rows = counted.filter((F.col("toxic") >= LEAST) & (F.col("clean") <= allowed) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean")))).orderBy(F.desc(F.col("toxic") - 5 * F.col("clean")), F.length("pattern"), "pattern").limit(CANDIDATES).collect()
-    stats = [(r["pattern"], r["toxic"], r["clean"]) for r in rows]
+    pure = counted.filter((F.col("toxic") >= LEAST) & (F.col("clean") <= allowed) & (F.col("toxic") >= PURE * (F.col("toxic") + F.col("clean"))))
+    stats = sorted(((r["pattern"], r["toxic"], r["clean"]) for r in pure.collect()), key=lambda r: (5 * r[2] - r[1], len(r[0]), r[0]))
     number = {x: k for k, (x, _, _) in enumerate(stats)}
 
-    @F.pandas_udf("found array<int>, sketch array<long>")
-    def held(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"found": [sorted(number[x] for x in patterns(t) if x in number) for t in texts], "sketch": [sketch(t) for t in texts]})
+    @F.arrow_udf("struct<found: array<int>, sketch: array<long>>")
+    def held(texts: pa.Array) -> pa.Array:
+        told = [{"found": sorted(number[x] for x in patterns(t) if x in number), "sketch": sketch(t)} for t in each_text(texts)]
+        return pa.array(told, pa.struct([("found", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64()))]))
 
-    toxic = some.filter("y = 1").select("__id", held("text").alias("h")).limit(bound).collect()
-    toxic.sort(key=lambda r: (r["__id"], r["h"]["sketch"]))
+    toxic = sorted(some.filter("y = 1").select("__id", held("text").alias("h")).collect(), key=lambda r: r["__id"])
     classes = _classes([r["h"]["sketch"] for r in toxic])
     taken = cover([(frozenset(r["h"]["found"]), c) for r, c in zip(toxic, classes, strict=True)], stats)
     weight = {x: _weight(t, c, *totals) for x, t, c in stats}
@@ -286,12 +295,12 @@ _LEXICONS: dict[tuple, Lexicon] = {}
 def score(model: tuple[dict[str, float], dict[str, float]], text: Column) -> Column:
     key = tuple(tuple(sorted(x.items())) for x in model)
 
-    @F.pandas_udf(T.DoubleType())
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def scored(texts: pa.Array) -> pa.Array:
         forget()
         if key not in _LEXICONS:
             _LEXICONS[key] = Lexicon(dict(key[0]), dict(key[1]))
-        return pd.Series([_LEXICONS[key].score(x) for x in texts], dtype="float64")
+        return pa.array([_LEXICONS[key].score(x) for x in each_text(texts)], pa.float64())
 
     return scored(text)
 
