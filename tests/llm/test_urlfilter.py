@@ -20,6 +20,11 @@ URLS = [
     "https://h.fr/login",
     "https://h.fr/loginpage",
     "https://ads.h.fr/banner/1",
+    "https://m.ads-track.h.fr/en/1",
+    "https://blog.casino-win.h.fr",
+    "https://casinos.h.fr/",
+    "https://h.casino/",
+    "https://adult-x.example.com/en/9",
     "no scheme/en/",
     "",
     None,
@@ -55,6 +60,33 @@ def test_matches_plain_rules(spark, inline):
     assert got == {k: plain(u) for k, u in enumerate(URLS + URLS[:3])}
 
 
+def test_only_fetched_rules_run(spark, monkeypatch):
+    """A rule filed under a token that no URL holds is never reached, so results come through the index."""
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(URLS)], "page_id long, url string")
+    for inline in (True, False):
+        assert U.filter_urls(df, inline=inline).filter("rule is not null").count() > 0
+        with monkeypatch.context() as patch:
+            patch.setattr(U, "index_rules", lambda pages, rules, at="__at": {"nowhere": list(rules)})
+            assert U.filter_urls(df, inline=inline).filter("rule is not null or pattern is not null").count() == 0
+    held = spark.createDataFrame([("example.com/en/1",)], "__at string")
+    index = {"com": [U.SITE_RULES[0]], "absent": list(U.SITE_RULES[1:])}
+    assert [e["rule"] for e in held.select(U._fetched(U._tokens(F.col("__at")), index).alias("x")).first()["x"]] == ["com/en/"]
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_large_sets_of_rules(spark, monkeypatch, most):
+    """Joined by token, broadcast or shuffled, and looked up in the row: the same rows."""
+    monkeypatch.setattr(U, "BROADCAST_RULES", most)
+    monkeypatch.setattr(U, "COUNTED_TOKENS", 20)
+    rules = U.SITE_RULES + U.PATTERN_RULES + tuple(U.site_rule("block" if k % 2 else "allow", f"host{k}.example.com/en/{k % 7}") for k in range(1500))
+    urls = [f"https://a.host{k}.example.com/en/{j}x" for k in range(0, 1600, 9) for j in (k % 7, 9)] + URLS
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {inline: sorted(map(tuple, U.filter_urls(df, rules, inline=inline).select("page_id", "rule", "verdict").fillna("").collect())) for inline in (None, True)}
+    assert got[None] == got[True]
+    want = {f"host{k}.example.com/en/{k % 7}" for k in range(0, 1500, 9)}
+    assert want <= {r for _, r, _ in got[None]}
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     df = spark.createDataFrame([("example.com/en/1",), ("example.com/en/2",), ("example.net/en/2",)], "__at string")
     index = U.index_rules(df, (U.site_rule("block", "example.com/en/"), U.site_rule("allow", "example.net/en/")))

@@ -3,7 +3,9 @@
 Each rule is a regular expression over ``host + path`` together with the
 literal tokens every matching URL must hold.  The rule is filed under the one
 of them that fewest URLs of the table hold; a URL's tokens fetch the rules
-filed under them, and only those run their expression.  Everything is a
+filed under them, and only those run their expression.  The index is a hash
+table: for few rules a constant array of buckets, so that a token costs one
+look into one bucket; for many a table joined by token.  Everything is a
 DataFrame expression.
 
 Two kinds of rule exist.  A *site rule* ``host/path`` fits its host and all
@@ -14,12 +16,15 @@ site rule fits, and blocks.  A URL that nothing fits is allowed.
 Defined cases: a null URL and one without ``://`` have an empty host and path,
 fit no rule and are allowed; host letters A-Z are lower-cased, paths are
 compared as they are; repeated rows stay repeated; rules of equal length that
-fit the same URL are settled by the order of their text.
+fit the same URL are settled by the order of their text; a URL of any length is
+read whole; an empty table gives no rows, and without rules all are allowed;
+columns named like the results are replaced, others are left alone.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +34,9 @@ from .common import lower_ascii
 
 TOKEN = re.compile(r"[A-Za-z0-9]+")
 #: Up to so many rules are looked up within the row; more are joined by token.
-INLINE_RULES = 128
+INLINE_RULES = 1024
+#: Up to so many tokens are counted by an aggregate each; more by a group each.
+COUNTED_TOKENS = 128
 #: An index of up to so many rules is broadcast; a larger one is shuffled.
 BROADCAST_RULES = 100_000
 
@@ -74,11 +81,15 @@ SITE_RULES = (
     site_rule("block", "example.net/de/8"),
     site_rule("block", "org/es/"),
 )
-#: Paths no text corpus wants.  Fixed values.
+#: What parts of a host's labels name sites that no text corpus wants.  Fixed values.
+SITE_WORDS = "adult xxx porn escort casino poker slots bets betting pills viagra spam warez torrent".split()
+#: Paths and hosts no text corpus wants.  Fixed values.
 PATTERN_RULES = (
+    *(pattern_rule(word, rf"^(?:[^/]*[.-])?{word}[.-][^/]*(?:/|$)", (word,)) for word in SITE_WORDS),
     pattern_rule("executable", r"/[^/]*\.exe$", ("exe",)),
     pattern_rule("login", r"/login(?:/|$)", ("login",)),
     pattern_rule("ad server", r"^ads?\.[^/]*/banner/", ("banner",)),
+    pattern_rule("ad tracker", r"^(?:[^/]*[.-])?(?:ad|ads)-track\.[^/]*(?:/|$)", ("track",)),
 )
 
 
@@ -101,7 +112,7 @@ def index_rules(pages: DataFrame, rules: tuple[Rule, ...], at: str = "__at") ->
     the driver is no longer than the rules.
     """
     named = sorted({t for r in rules for t in r.tokens})
-    if len(rules) <= INLINE_RULES:
+    if len(named) <= COUNTED_TOKENS:
         held = pages.select(_tokens(F.col(at)).alias("ts"))
         row = held.agg(*[F.count_if(F.array_contains("ts", t)).alias(f"c{k}") for k, t in enumerate(named)]).first()
         counts = dict(zip(named, row, strict=True))
@@ -116,14 +127,31 @@ def index_rules(pages: DataFrame, rules: tuple[Rule, ...], at: str = "__at") ->
     return index
 
 
-def _inline(pages: DataFrame, index: dict[str, list[Rule]]) -> Column:
-    """The best fitting rule as a struct, found without leaving the row."""
-    fits = []
+def _entry(token: str, r: Rule) -> Column:
+    values = {"token": token, "order": r.order, "rule": r.rule, "verdict": r.verdict, "site": r.site, "regex": r.regex}
+    return F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def _buckets(index: dict[str, list[Rule]]) -> tuple[Column, int]:
+    """A constant array of buckets; a token's rules lie in the bucket of its checksum."""
+    n = 2 * len(index) + 1
+    listed: list[list[Column]] = [[] for _ in range(n)]
     for token, filed in sorted(index.items()):
-        for r in filed:
-            fit = F.array_contains("__ts", token) & F.col("__at").rlike(r.regex)
-            fits.append(F.when(fit, F.struct(F.lit(r.order).alias("order"), F.lit(r.rule).alias("rule"), F.lit(r.verdict).alias("verdict"), F.lit(r.site).alias("site"))))
-    return F.array_max(F.array(*fits))
+        listed[zlib.crc32(token.encode()) % n] += [_entry(token, r) for r in filed]
+    none = F.array().cast("array<struct<token:string,order:string,rule:string,verdict:string,site:boolean,regex:string>>")
+    return F.array(*[F.array(*x) if x else none for x in listed]), n
+
+
+def _fetched(tokens: Column, index: dict[str, list[Rule]]) -> Column:
+    """The rules filed under a URL's tokens."""
+    buckets, n = _buckets(index)
+    return F.flatten(F.transform(tokens, lambda t: F.filter(F.get(buckets, F.pmod(F.crc32(t.cast("binary")), F.lit(n)).cast("int")), lambda e: e["token"] == t)))
+
+
+def _inline(index: dict[str, list[Rule]]) -> Column:
+    """The best fitting rule as a struct, found without leaving the row; only fetched rules run."""
+    fits = F.filter(_fetched(_tokens(F.col("__at")), index), lambda e: F.rlike(F.col("__at"), e["regex"]))
+    return F.array_max(F.transform(fits, lambda e: F.struct(*[e[c].alias(c) for c in ("order", "rule", "verdict", "site")])))
 
 
 def _joined(pages: DataFrame, index: dict[str, list[Rule]]) -> DataFrame:
@@ -150,7 +178,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = SITE_RULES + PATTERN
     if rules:
         index = index_rules(out, rules)
         if len(rules) <= INLINE_RULES if inline is None else inline:
-            out = out.withColumn("__ts", _tokens(F.col("__at"))).withColumn("__best", _inline(out, index)).drop("__ts")
+            out = out.withColumn("__best", _inline(index))
         else:
             out = out.join(_joined(out, index), "__at", "left")
         best = F.col("__best")
