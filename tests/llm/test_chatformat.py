@@ -1,3 +1,5 @@
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def test_round_trip(turns):
 def test_spans_cover_the_written_assistant_texts(spark):
     df = spark.createDataFrame([(1, 0, "user", "é<|"), (1, 1, "assistant", "a<|b"), (1, 2, "assistant", "")], ROWS)
     r = C.render(C.canonical(df)).first()
-    assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]] == [r"a<\|b", ""]
+    assert [r["formatted"][s["start"] : s["start"] + s["length"]] for s in r["loss_spans"]] == ["", r"a<\|b", ""]
 
 
 def test_ties_nulls_and_lone_rows(turns):
@@ -74,6 +76,33 @@ def test_each_layout_gives_the_same_turns(spark):
     assert [r["turns"] for r in got[-3:]] == [None] * 3
 
 
+def test_turn_rows_are_found_by_their_fingerprint(spark, turns, monkeypatch):
+    rows = C.LAYOUTS[0]
+    assert C.layout_of(turns.withColumn("prompt", F.lit("extra")).schema) is rows
+    pairs = spark.createDataFrame([("q", "a", "extra")], "prompt string, completion string, text string")
+    assert C.layout_of(pairs.schema).name == "prompt and completion"
+    monkeypatch.setattr(C, "BY_FINGERPRINT", {k: v for k, v in C.BY_FINGERPRINT.items() if v is not rows})
+    with pytest.raises(ValueError, match="no layout"):  # there is no other way to it
+        C.canonical(turns)
+
+
+def test_one_conversation_of_very_many_turns(spark):
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("é<|"), F.col("id")).alias("text"))
+    r = C.digests(C.render(C.canonical(df))).first()
+    said = [f"é<|{k}" for k in range(n)]
+    assert r["n_turns"] == n and r["loss_chars"] == sum(map(len, said[1::2]))
+    assert r["loss_sha256"] == hashlib.sha256("".join(said[1::2]).encode()).hexdigest()
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{'assistant' if k % 2 else 'user'}\n{t}\n" for k, t in enumerate(said)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 300])
+def test_starts_are_running_sums(spark, n):
+    lengths = [(k * 7) % 11 for k in range(n)]
+    df = spark.createDataFrame([(lengths,)], "x array<long>")
+    assert df.select(C._starts(F.col("x")).alias("s")).first()["s"] == [sum(lengths[:k]) for k in range(n)]
+
+
 def test_unknown_schemas_are_refused_and_empty_tables_pass(spark):
     with pytest.raises(ValueError, match="no layout"):
         C.canonical(spark.createDataFrame([(1,)], "x int"))

@@ -4,6 +4,8 @@ Conversations come in many layouts: a row for each turn, a list of messages,
 a prompt with its completion, an instruction with its input and output.  The
 nested field paths of a schema that any layout uses are sorted and hashed; the
 hash selects a declarative mapping to canonical turns, a list of (role, text).
+Layouts of a row for each turn and of a row for each conversation have a
+vocabulary of paths each, so ``text`` beside ``prompt`` is an extra column.
 The same is done row by row for a column of JSON texts, whose layouts may
 differ from one row to the next.  Everything is a DataFrame expression.
 
@@ -14,8 +16,11 @@ Turns are written as
 A ``<`` followed by any number of backslashes and a ``|`` gets one more
 backslash inside texts and roles, so ``<|`` never stands in them and undoing
 it gives the text back; in roles, backslashes and line feeds are spelled
-``\\b`` and ``\\n``.  The loss mask is a list of (start, length) in code points
-that covers the written text of each assistant turn.
+``\\b`` and ``\\n``.  The loss mask has a span (start, length) in code points for
+each turn: the written text of an assistant's, nothing of another's.  Starts
+are sums in two levels and every span is cut from its own turn, so a
+conversation of very many turns is written and read in little more than one
+pass.
 
 Defined cases: null roles and texts are empty; rows of one conversation that
 share a turn number follow by role, then text; rows without a conversation id
@@ -35,6 +40,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
+TAIL = f"{END}\n"
+#: Turns whose lengths are summed one by one; beyond, by chunks of so many.
+CHUNK = 128
 TURNS = "array<struct<role:string,text:string>>"
 #: What other layouts call the roles.  Fixed values.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -44,8 +52,11 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 class Layout:
     name: str
     paths: tuple[str, ...]
-    #: field reader -> canonical turns; None for a row for each turn
-    turns: Callable[[Callable[[str], Column]], Column] | None = None
+    #: field reader -> canonical turns
+    turns: Callable[[Callable[[str], Column]], Column]
+    #: the column whose equal values make one conversation, and field reader -> (order, role, text) of a row
+    by: str | None = None
+    row: Callable[[Callable[[str], Column]], Column] | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -81,8 +92,16 @@ def _instruction(get) -> Column:
     return F.array(_turn("user", ask), _turn("assistant", get("output")))
 
 
+def _turn_row(get) -> Column:
+    return F.struct(get("turn").alias("turn"), get("role").cast("string").alias("role"), get("text").cast("string").alias("text"))
+
+
+def _in_order(get) -> Column:
+    return F.transform(F.sort_array(get("rows")), lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
+
+
 LAYOUTS = (
-    Layout("turn rows", ("conv_id", "turn", "role", "text")),
+    Layout("turn rows", ("conv_id", "turn", "role", "text"), _in_order, "conv_id", _turn_row),
     Layout("messages", ("messages[].role", "messages[].content"), _list("messages", "role", "content")),
     Layout("from and value", ("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),
     Layout("prompt and completion", ("prompt", "completion"), _pair("prompt", "completion")),
@@ -92,8 +111,10 @@ LAYOUTS = (
     Layout("bare instruction", ("instruction", "output"), _pair("instruction", "output")),
 )
 BY_FINGERPRINT = {x.fingerprint: x for x in LAYOUTS}
-_ONE_TO_A_ROW = tuple(x for x in LAYOUTS if x.turns)
-KNOWN_PATHS = frozenset(p for x in _ONE_TO_A_ROW for p in x.paths)
+_ONE_TO_A_ROW = tuple(x for x in LAYOUTS if not x.by)
+#: Paths of layouts of a row for each turn, then of those of a row for each conversation.
+VOCABULARIES = tuple(frozenset(p for x in some for p in x.paths) for some in ([x for x in LAYOUTS if x.by], _ONE_TO_A_ROW))
+KNOWN_PATHS = VOCABULARIES[1]
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -106,26 +127,24 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def layout_of(schema: T.StructType) -> Layout:
-    """The layout whose fingerprint the schema has, without paths no layout uses."""
+    """The layout whose fingerprint the schema has within a vocabulary."""
     paths = set(field_paths(schema))
-    if set(LAYOUTS[0].paths) <= paths:
-        return LAYOUTS[0]
-    found = BY_FINGERPRINT.get(fingerprint(paths & KNOWN_PATHS))
-    if found is None:
-        raise ValueError(f"no layout has the fields {sorted(paths)}")
-    return found
+    for known in VOCABULARIES:
+        found = BY_FINGERPRINT.get(fingerprint(paths & known))
+        if found:
+            return found
+    raise ValueError(f"no layout has the fields {sorted(paths)}")
 
 
 def canonical(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each conversation: ``conv_id`` or ``keep``, and ``turns``."""
     layout = layout_of(df.schema)
-    if layout.turns:
+    if not layout.by:
         return df.select(*keep, _clean(layout.turns(F.col)).alias("turns"))
-    row = F.struct("turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    named = df.filter("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    lone = df.filter("conv_id is null").select("conv_id", F.array(row).alias("rows"))
-    rows = named.unionByName(lone)
-    return rows.select("conv_id", _clean(F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))).alias("turns"))
+    by, row = F.col(layout.by), layout.row(F.col)
+    named = df.filter(by.isNotNull()).groupBy(by).agg(F.collect_list(row).alias("rows"))
+    lone = df.filter(by.isNull()).select(by, F.array(row).alias("rows"))
+    return named.unionByName(lone).select(layout.by, _clean(layout.turns(F.col)).alias("turns"))
 
 
 def _clean(turns: Column) -> Column:
@@ -177,30 +196,40 @@ def unescape_role(c: Column) -> Column:
     return F.replace(F.replace(unescape(c), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
+def _starts(lengths: Column) -> Column:
+    """Where each of several lengths begins if they follow one another: sums within chunks, then of chunks."""
+    last = F.element_at
+    zero = F.array(F.lit(0).cast("long"))
+    running = lambda x: F.aggregate(x, zero, lambda acc, n: F.concat(acc, F.array(last(acc, -1) + n)))
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int"))), lambda k: F.slice(lengths, k * CHUNK + 1, CHUNK))
+    inner = F.transform(chunks, running)  # one more entry than the chunk: its whole length
+    outer = running(F.transform(inner, lambda x: last(x, -1)))
+    return F.flatten(F.zip_with(inner, F.slice(outer, F.lit(1), F.size(inner)), lambda x, at: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda s: s + at)))
+
+
 def render(df: DataFrame, turns: str = "turns") -> DataFrame:
-    """Replace ``turns`` by ``formatted`` and ``loss_spans`` (start, length), in code points."""
+    """Replace ``turns`` by ``formatted`` and ``loss_spans`` (start, length), in code points, one for each turn."""
     head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
     parts = F.transform(turns, lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))
-    tail = f"{END}\n"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start, length = acc["at"] + F.char_length(p["head"]), F.char_length(p["body"]).cast("long")
-        span = F.array(F.struct(start.cast("long").alias("start"), length.alias("length")))
-        return F.struct((start + length + len(tail)).cast("long").alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    out = df.withColumn("__parts", parts)
-    formatted = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "")
-    return out.withColumn("formatted", formatted).withColumn("loss_spans", F.aggregate("__parts", zero, step)["spans"]).drop("__parts", turns)
+    size = lambda c: F.char_length(c).cast("long")
+    told = F.transform("__parts", lambda p: F.struct(size(p["head"]).alias("head"), size(p["body"]).alias("body"), p["loss"].alias("loss")))
+    starts = _starts(F.transform("__told", lambda p: p["head"] + p["body"] + len(TAIL)))
+    span = lambda p, at: F.struct(F.when(p["loss"], at + p["head"]).otherwise(at).alias("start"), F.when(p["loss"], p["body"]).otherwise(F.lit(0).cast("long")).alias("length"))
+    formatted = F.array_join(F.transform("__parts", lambda p: F.concat(p["head"], p["body"], F.lit(TAIL))), "")
+    out = df.withColumn("__parts", parts).withColumn("__told", told).withColumn("formatted", formatted).withColumn("__starts", starts)
+    return out.withColumn("loss_spans", F.zip_with("__told", "__starts", span)).drop("__parts", "__told", "__starts", turns)
 
 
 def read_back(df: DataFrame) -> DataFrame:
     """Add ``turns`` and ``loss_text``, read from ``formatted`` and ``loss_spans`` alone."""
-    each = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda p: p != "")
+    pieces = F.split("formatted", r"<\|im_end\|>\n")
+    out = df.withColumn("__pieces", F.slice(pieces, F.lit(1), F.size(pieces) - 1))  # nothing follows the last end
     turn = lambda p, k: F.regexp_extract(p, r"(?s)^<\|im_start\|>([^\n]*)\n(.*)$", k)
-    turns = F.transform(each, lambda p: F.struct(unescape_role(turn(p, 1)).alias("role"), unescape(turn(p, 2)).alias("text")))
-    cut = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int"))))
-    return df.withColumn("turns", turns).withColumn("loss_text", F.array_join(cut, ""))
+    turns = F.transform("__pieces", lambda p: F.struct(unescape_role(turn(p, 1)).alias("role"), unescape(turn(p, 2)).alias("text")))
+    out = out.withColumn("turns", turns).withColumn("__starts", _starts(F.transform("__pieces", lambda p: F.char_length(p).cast("long") + len(TAIL))))
+    placed = F.zip_with("loss_spans", "__starts", lambda s, at: F.struct((s["start"] - at).cast("int").alias("at"), s["length"].cast("int").alias("n")))
+    cut = F.zip_with("__pieces", placed, lambda p, s: F.when(s["n"] > 0, unescape(F.substring(p, s["at"] + 1, s["n"]))).otherwise(""))
+    return out.withColumn("loss_text", F.array_join(cut, "")).drop("__pieces", "__starts")
 
 
 def digests(df: DataFrame) -> DataFrame:
