@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bm25, chatformat, mixing, packing, quality, simhash, tokenout, toxicity, urlfilter, vecdedup
-from .common import fold, scratch, table
+from .common import checkpoint, fold, remove, scratch, table
 from .tokenizer import public
 
 
@@ -61,7 +61,9 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
     tokenout.write(table(spark, sf_dir, "documents"), path, public("word_bpe_49k.json"), end_id=2)
-    return tokenout.read(spark, path)
+    found = checkpoint(tokenout.read(spark, path))
+    remove(spark, path)
+    return found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
