@@ -16,6 +16,14 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+#: Links that a partition holds at least: steps over few links don't write a file for each of many partitions.
+LEAST_LINKS = 20_000
+
+
+def _gather(df: DataFrame, links: int) -> DataFrame:
+    return df.coalesce(max(1, links // LEAST_LINKS))
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     return row[0], row[1]
@@ -37,14 +45,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = checkpoint(e)
     seen = _signature(e)
     while seen[0]:
+        e = _gather(e, seen[0])
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written first, so that the join below has a plain exchange on either side and AQE can split a hub's links.
-        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = checkpoint(_gather(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), seen[0]))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = checkpoint(large)
+        large = checkpoint(_gather(large, seen[0]))
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small_least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(moved.union(small_least.select("u", F.col("m").alias("v"))).distinct())
+        e = checkpoint(_gather(moved.union(small_least.select("u", F.col("m").alias("v"))).distinct(), seen[0]))
         now = _signature(e)
         if now == seen:
             break

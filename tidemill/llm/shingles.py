@@ -15,10 +15,13 @@ Candidates come from two sides and are all verified on the whole sets:
    and passages that many texts hold make few buckets, and nothing depends on
    the sample but speed.
 
-Buckets are first joined to their smallest member alone.  That joins a group of
-near copies of any size by one pair a member; afterwards only pairs that are
-still in different components are looked at, and of those only such as their
-places in the two orders still allow.  Sizes, and parities of as many cells as
+Buckets are first joined to their smallest member alone.  That joins most of a
+group of near copies of any size by one pair a member.  Where a bucket still
+holds a large component and many members apart from it, these are paired with
+one member of it, and it with one of the next largest, again a pair a member,
+as long as that links anything.  Afterwards only pairs that are still in
+different components are looked at, and of those only such as their places in
+the two orders still allow.  Sizes, and parities of as many cells as
 a set has shingles, rule out most pairs before sets are moved: parities differ
 in no more cells than sets do in shingles.  Nothing is capped or left out.
 
@@ -52,6 +55,8 @@ SAMPLE, RATE, COMMON, TAKEN = 4_000, 256, 3, 1_000_000
 PARITIES = 16
 #: Names of sets that are broadcast at most.
 BROADCAST = 1_000_000
+#: Buckets are paired by a few members while pairs of largest components and what is apart from them are so many times their members.
+DENSE, PIVOTS = 4, 8
 
 
 def as_set(hashes: np.ndarray) -> np.ndarray:
@@ -161,6 +166,29 @@ def _by_marks(nodes: DataFrame) -> DataFrame:
     return same.union(found.join(of[0], "a").join(of[1], "b").select(*_ordered("ra", "rb")))
 
 
+def _place_members(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members (t, i, node, n) of buckets with several components: theirs, the bucket's most frequent one and how large that is there.
+
+    Members of one component need no pairs among themselves.
+    """
+    joined = checkpoint(components(linked))
+    told = checkpoint(members.join(joined, "node", "left").select("t", "i", "node", "n", F.coalesce("component", "node").alias("component")))
+    sizes = told.groupBy("t", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("several"))
+    return checkpoint(told.join(sizes.filter("several > 1").select("t", F.col("m.component").alias("main"), F.col("m.k").alias("largest")), "t"))
+
+
+def _by_some_members(placed: DataFrame, turn: int) -> DataFrame:
+    """Members apart from a bucket's most frequent component with a few members of it, and its members with a few apart.
+
+    These are the first in orders that are the same in all buckets and others at each turn.
+    """
+    firsts = [F.min_by("node", F.xxhash64(F.lit(turn * PIVOTS + k), "node")) for k in range(PIVOTS)]
+    of_main = F.col("component") == F.col("main")
+    chosen = placed.groupBy("t", of_main.alias("of_main")).agg(F.array_distinct(F.array(*firsts)).alias("others"))
+    others = chosen.select("t", (~F.col("of_main")).alias("of_main"), F.explode("others").alias("other"))
+    return placed.withColumn("of_main", of_main).join(others, ["t", "of_main"]).select(*_ordered("node", "other")).distinct()
+
+
 def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes whose sets are near.
 
@@ -173,11 +201,14 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     twos = buckets.filter("many = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"))
     pairs = members.filter("node <> pivot").select(*_ordered("pivot", "node")).union(twos).union(_by_marks(nodes)).distinct()
     linked = _near(pairs, nodes, texts)
-    joined = checkpoint(components(linked))
-    placed = checkpoint(members.filter("node <> pivot").join(joined, "node", "left").select("t", "i", "node", "n", F.coalesce("component", "node").alias("component")))
-    # The members of a bucket that are in its most frequent component need no pairs among themselves.
-    main = placed.groupBy("t", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-    placed = checkpoint(placed.join(main, "t"))
+    members = members.filter("node <> pivot").select("t", "i", "node", "n")
+    placed, turn, before = _place_members(members, linked), 0, None
+    while True:
+        held, dense = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("component") != F.col("main"), F.col("largest"))), F.lit(0))).first()
+        if dense <= DENSE * held or (before and 2 * dense > before):
+            break
+        linked = checkpoint(linked.union(_near(_by_some_members(placed, turn), nodes, texts)))
+        placed, turn, before = _place_members(members, linked), turn + 1, dense
     apart, rest = placed.filter("component <> main").alias("x"), placed.alias("y")
     # A near pair has its first shared shingle in some bucket, and there enough is left on both sides.
     left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
