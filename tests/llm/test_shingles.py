@@ -3,6 +3,7 @@ import re
 
 import brute
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tidemill.llm import shingles, simhash
@@ -64,6 +65,25 @@ def test_groups_chains_and_common_passages(spark, monkeypatch):
     assert 5 < len(set(got.values())) < 60
 
 
+@pytest.mark.parametrize("large", [2, 64])
+def test_a_group_around_the_threshold(spark, monkeypatch, large):
+    """Copies of one text with so many changes that some are near each other, some only near a few, some to none."""
+    monkeypatch.setattr(shingles, "COMMON", 2)
+    monkeypatch.setattr(shingles, "DENSE", 1)
+    monkeypatch.setattr(shingles, "PIVOTS", 2)
+    monkeypatch.setattr(shingles, "LARGE", large)
+    rng, base, texts = random.Random(11), [f"b{i}" for i in range(150)], []
+    for k in range(150):
+        changed = list(base)
+        for i in rng.sample(range(150), 1 + k % 6):
+            changed[i] = f"c{k}x{i}"
+        texts.append(" ".join(changed))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == near_classes(rows)
+    assert 3 < len(set(got.values())) < 120
+
+
 def test_prefixes_of_near_sets_meet_whatever_is_common():
     rng = np.random.default_rng(4)
     for _ in range(300):

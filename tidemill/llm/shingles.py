@@ -57,6 +57,8 @@ PARITIES = 16
 BROADCAST = 1_000_000
 #: Buckets are paired by a few members while pairs of largest components and what is apart from them are so many times their members.
 DENSE, PIVOTS = 4, 8
+#: Buckets with so large a component compare parities before they give pairs out.
+LARGE = 64
 
 
 def as_set(hashes: np.ndarray) -> np.ndarray:
@@ -209,17 +211,20 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         linked = checkpoint(linked.union(_near(_by_some_members(placed, turn), nodes, texts)))
         placed, turn, before = _place_members(members, linked), turn + 1, dense
-    apart, rest = placed.filter("component <> main").alias("x"), placed.alias("y")
+    small = _apart(placed.filter(F.col("largest") < LARGE))
+    large = placed.filter(F.col("largest") >= LARGE).join(nodes.select(F.col("fp").alias("node"), "odd"), "node")
+    large = _apart(large, _differ(F.col("x.odd"), F.col("y.odd")) * (OF + OUT) <= (F.col("x.n") + F.col("y.n")) * (OUT - OF))
+    return linked.union(_near(small.union(large).distinct(), nodes, texts))
+
+
+def _apart(placed: DataFrame, also: Column | None = None) -> DataFrame:
+    """Pairs of a bucket's members in different components that can be near."""
     # A near pair has its first shared shingle in some bucket, and there enough is left on both sides.
     left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
-    enough = left * (OF + OUT) >= (F.col("x.n") + F.col("y.n")) * OF
-    more = (
-        apart.join(rest, F.col("x.t") == F.col("y.t"))
-        .filter((F.col("x.component") != F.col("y.component")) & _like_sized("x.n", "y.n") & enough)
-        .select(*_ordered("x.node", "y.node"))
-        .distinct()
-    )
-    return linked.union(_near(more, nodes, texts))
+    can = (F.col("x.component") != F.col("y.component")) & _like_sized("x.n", "y.n") & (left * (OF + OUT) >= (F.col("x.n") + F.col("y.n")) * OF)
+    can = can if also is None else can & also
+    pairs = placed.filter("component <> main").alias("x").join(placed.alias("y"), (F.col("x.t") == F.col("y.t")) & can)
+    return pairs.select(*_ordered("x.node", "y.node"))
 
 
 def placed(docs: DataFrame) -> DataFrame:
