@@ -1,8 +1,10 @@
 import random
 
 import brute
+import pytest
 from pyspark.sql import functions as F
 
+from tidemill.llm import components as components_module
 from tidemill.llm import simhash
 from tidemill.llm.components import components
 
@@ -86,7 +88,9 @@ def test_empty_table(no_docs):
     assert simhash.keep_one(no_docs).count() == 0
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("few", [0, 50_000])  # step by step, and in one task
+def test_components_of_a_path_and_a_star(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     path = [(k, k + 1) for k in range(100, 160)]
     star = [(5, k) for k in range(1000, 1200)]
     odd = [(8, 8), (9, None), (11, 10), (11, 10)]
