@@ -5,7 +5,7 @@ row that holds its postings, sorted by term and document, as packed arrays.
 Document counts, total length and document frequencies are summed over all
 shards, so scores don't depend on how documents fell into shards.
 
-Documents of a shard stand in blocks of 128, and each term knows its largest
+Documents of a shard stand in blocks of 256, and each term knows its largest
 contribution to a score in each block it occurs in.  A query's terms are
 ordered from the least such contribution to the greatest, and in each block
 contributions are summed in that order.  The term whose sum reaches the query's
@@ -18,7 +18,8 @@ after each step less can still be added, and more documents are passed over.
 Postings of the steps are sought one by one for the documents left, or, where
 these are many, read in blocks that hold one of them.  Blocks go from the most promising down, in rounds, and the threshold
 rises with each round; a block whose whole sum doesn't reach it isn't read at
-all.  That is WAND's rule with block maxima (Broder et al., 2003; Ding and
+all.  (A query that brings a threshold from other shards takes all blocks that
+reach it in one round.)  That is WAND's rule with block maxima (Broder et al., 2003; Ding and
 Suel, 2011), with all of a round's blocks advanced at once instead of cursor by
 cursor.  No document that belongs to the top k is passed over, so merging the
 lists of shards gives the exact top k.
@@ -59,7 +60,7 @@ K1, B = 1.2, 0.75
 TOP = 10
 SHARD_DOCS = 8192
 SHARD_CHARS = 32 << 20
-BLOCK = 128
+BLOCK = 256
 #: Queries that one task holds; about 5 kB each.
 QUERY_BLOCK = 16_384
 #: Bytes of shards that pass through one task on the average, so that tasks stay short enough to be run again.
@@ -67,9 +68,9 @@ TASK_BYTES = 512 << 20
 #: Tasks for each core, so that uneven ones even out.
 TASKS_A_CORE = 2
 #: Blocks of a shard's first round; each further round takes so many times more.
-FIRST_BLOCKS, MORE = 16, 8
+FIRST_BLOCKS, MORE = 8, 8
 #: Shares of the threshold that the unread sums of a block go down to, step by step.
-DESCENT = (1.0, 0.5, 0.25, 0.1, 0.0)
+DESCENT = (1.0, 0.3, 0.0)
 #: A posting sought costs about as much as so many read in a row.
 SEEK = 8
 NO_ID = -(1 << 63)
@@ -171,7 +172,7 @@ class Shard:
     def __init__(self, packed: dict, mean_length: float):
         get = lambda c, kind: np.frombuffer(packed[c], kind)
         self.ids, length = get("ids", "<i8"), get("lengths", "<i8")
-        self.terms, self.slots, tf = get("terms", "<u8"), get("slots", "<u2").astype(np.int64), get("tf", "<i4")
+        self.terms, self.slots, tf = get("terms", "<u8"), get("slots", "<u2"), get("tf", "<i4")
         starts = np.append(get("starts", "<i4").astype(np.int64), len(tf))
         self.keys = np.repeat(np.arange(len(self.terms)) << 16, np.diff(starts)) | self.slots
         norm = K1 * (1 - B + B * length / mean_length)
@@ -210,7 +211,7 @@ class Shard:
         reached = sums[place[term], block]
         todo = np.flatnonzero(whole > 0)
         todo = todo[np.argsort(-whole[todo], kind="stable")]
-        scores, taken, size = np.zeros(len(self.ids)), 0, FIRST_BLOCKS
+        scores, taken, size = np.zeros(len(self.ids)), 0, self.n_blocks if least > 0 else FIRST_BLOCKS
         while taken < len(todo) and whole[todo[taken]] >= least - SLACK:
             some = np.zeros(self.n_blocks, dtype=bool)
             some[todo[taken : taken + size]] = True
@@ -232,8 +233,9 @@ class Shard:
                     left = np.flatnonzero(some[self.block_of] & (scores > 0))
                 above = bar
             taken, size = taken + size, size * MORE
-            if len(scores) > k:
-                least = max(least, float(np.partition(scores, -k)[-k]))
+            reached_it = scores[scores > max(0.0, least - SLACK)]
+            if len(reached_it) > k:
+                least = max(least, float(np.partition(reached_it, -k)[-k]))
         found = np.flatnonzero((scores > 0) & (scores >= least - SLACK))
         return best(self.ids[found], scores[found], k)
 
@@ -246,13 +248,14 @@ class Shard:
 
     def _complete(self, scores: np.ndarray, left: np.ndarray, now: np.ndarray, entry: np.ndarray, weight: np.ndarray, term: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
         """Add what entries ``now`` give the documents ``left``: sought one by one, or read with their blocks."""
-        counts = np.bincount(self.block_of[left], minlength=self.n_blocks)[self.block[entry[now]]]
+        held = np.bincount(self.block_of[left], minlength=self.n_blocks)
+        counts = held[self.block[entry[now]]]
         now, counts = now[counts > 0], counts[counts > 0]
         if counts.sum() * SEEK >= (self.first[entry[now] + 1] - self.first[entry[now]]).sum():
             open_ = np.zeros(len(scores), dtype=bool)
             open_[left] = True
             self._add(scores, entry, weight, now)
-            scores[~open_ & np.isin(self.block_of, self.block_of[left])] = 0.0
+            scores[~open_ & (held > 0)[self.block_of]] = 0.0
             return
         # left is in ascending order, so a block's documents stand together
         first = np.searchsorted(self.block_of[left], self.block[entry[now]])
@@ -344,7 +347,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc
     task = F.col("part") * groups + F.col("group")
     sent = known.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
     sent = sent.select(task.alias("task"), F.lit(0).alias("kind"), F.col("query").alias("seq"), "weights", *["terms" if c == "terms" else binary(c) for c in SHARD])
-    held = shards.withColumn("group", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int")).withColumn("part", each(blocks))
+    # A partition's shards are dealt on from its own number, so groups are even and nothing is numbered globally.
+    dealt_to = F.shiftright("at", 33) + F.col("at").bitwiseAND((1 << 33) - 1) * 7919
+    held = shards.withColumn("group", F.pmod(dealt_to, F.lit(groups)).cast("int")).withColumn("part", each(blocks))
     held = held.select(task.alias("task"), F.lit(1).alias("kind"), F.col("at").alias("seq"), binary("weights"), *SHARD)
     dealt = sent.union(held).repartitionById(blocks * groups, "task").sortWithinPartitions("task", "kind", "seq")
     with arrow_rows(spark, 4):  # a row may be a whole shard
