@@ -156,6 +156,30 @@ def test_generator_is_a_function_of_its_offsets():
     assert rows(start, end) == rows(start, middle) + rows(middle, end)
 
 
+def test_sensors_are_dealt_over_subtasks_and_dealt_again_on_restart():
+    one, three = (generators.SensorReader({"ticksperbatch": "4", "subtasks": str(n)}) for n in (1, 3))
+    start = three.initialOffset()
+    middle, end = three._ahead(start), three._ahead(three._ahead(start))
+    rows = lambda reader, a, b: sorted(r for p in reader.partitions(a, b) for r in reader.read(p))
+    assert [len(p.numbers) for p in three.partitions(start, end)] == [10, 10, 10]
+    whole = rows(three, start, end)
+    assert len(whole) == 30 * 8 and rows(one, start, end) == whole  # the rows don't depend on how they are dealt
+    assert sorted(rows(three, start, middle) + rows(one, middle, end)) == whole
+
+
+def test_a_commit_that_fails_half_way_repeats_no_line(spark, some):
+    whole = jobs.averages_through_transactions(spark, some, fail_in=None)
+    assert same(jobs.averages_through_transactions(spark, some, fail_in=1), whole)
+
+
+def test_replay_keeps_rows_of_null_order_and_takes_files_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(k if k else None, k) for k in range(40)], "o long, v long").repartition(5)
+    seen = []
+    stream = jobs.replay(spark, df, f"{tmp_path}/in", "o", 4)
+    jobs.run_to_end(stream.writeStream.foreachBatch(lambda b, n: seen.append(sorted(r["v"] for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/c"))
+    assert len(seen) == 4 and [v for some in seen for v in some] == list(range(40))
+
+
 @pytest.mark.parametrize("job", [jobs.averages_through_files, jobs.averages_through_write_ahead])
 def test_restart_neither_loses_nor_repeats(spark, some, job):
     failed, clean = job(spark, some, files=3, fail_in=1), job(spark, some, files=3, fail_in=None)

@@ -66,10 +66,10 @@ def increase_alerts(readings: DataFrame, hold_ms: int, order: str = "event_id")
     last = F.when(F.col("prev.v") != 0.0, F.col("prev.v"))
     known = known.withColumns({"__up": F.coalesce(F.col("temperature") > last, F.lit(False)), "__down": F.coalesce(F.col("temperature") < last, F.lit(False))})
     runs = running(known, order, {"__run": ("sum", F.col("__down").cast("long"))}, ("id",))
-    end = readings.agg(F.max(millis(F.col("ts"))).alias("end")).first()["end"]
+    end = readings.agg(F.max(millis(F.col("ts"))).alias("end")).scalar()
     rises = F.sort_array(F.collect_list(F.when(F.col("__up"), F.col("__ms"))))
     folded = runs.groupBy("id", "__run").agg(rises.alias("rises"), F.min("__ms").alias("began"))
-    folded = folded.withColumn("until", F.coalesce(F.lead("began").over(W.partitionBy("id").orderBy("__run")), F.lit(end)))
+    folded = folded.withColumn("until", F.coalesce(F.lead("began").over(W.partitionBy("id").orderBy("__run")), end))
     none = F.array().cast("array<bigint>")
     timers = F.aggregate("rises", none, lambda acc, t: F.when(F.size(acc) == 0, F.array(t + hold_ms)).when(t >= F.get(acc, F.size(acc) - 1), F.concat(acc, F.array(t + hold_ms))).otherwise(acc))
     fired = folded.filter(F.size("rises") > 0).select("id", "until", F.explode(timers).alias("fired_ms"))

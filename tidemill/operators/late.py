@@ -83,9 +83,9 @@ def early_windows(readings: DataFrame, size_ms: int, delay_ms: int, every_ms: in
     known = _ends(with_watermark_before(readings, delay_ms, order), size_ms)
     met = F.coalesce("wm_ms", millis(F.col("ts")) - delay_ms)
     shown = known.withColumn("at", (F.floor(met / every_ms) + 1) * every_ms)
-    final = readings.agg((F.max(millis(F.col("ts"))) - delay_ms).alias("final_ms")).first()["final_ms"]
+    final = readings.agg((F.max(millis(F.col("ts"))) - delay_ms).alias("final_ms")).scalar()
     steps = shown.groupBy("id", "end_ms", "at").agg(F.count(F.lit(1)).alias("n"))
     window = W.partitionBy("id", "end_ms").orderBy("at")
     steps = steps.withColumns({"cnt": F.sum("n").over(window), "until": F.coalesce(F.lead("at").over(window) - every_ms, "end_ms")})
     fired = steps.select("id", "end_ms", F.explode(F.sequence("at", "until", F.lit(every_ms))).alias("eval_ms"), "cnt")
-    return fired.filter((F.col("eval_ms") <= F.lit(final)) | (F.col("eval_ms") == F.col("end_ms")))
+    return fired.filter((F.col("eval_ms") <= final) | (F.col("eval_ms") == F.col("end_ms")))

@@ -6,7 +6,10 @@ streams with a watermark.
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Callable
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,6 +62,59 @@ def reduced(readings: DataFrame, size: str, reduce: Callable[[pd.Series], float]
     return _ended(tumbling(readings, size, [folded("temperature").alias(name)]), name)
 
 
+def processed(readings: DataFrame, size: str, function: Callable[[tuple, pd.Timestamp, pd.Timestamp, pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """A function over (key, window's start, its end, its rows) that may give any rows.
+
+    All rows of one window reach Python together, so it is for functions that
+    need them; what can be folded step by step belongs into ``folded``.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return function(key[:-2], key[-2], key[-1], rows.drop(columns=["__start", "__end"]))
+
+    placed = readings.withColumn("__w", F.window("ts", size)).withColumns({"__start": F.col("__w.start"), "__end": F.col("__w.end")}).drop("__w")
+    return placed.groupBy(*keys, "__start", "__end").applyInPandas(run, schema)
+
+
+class Fold(Protocol):
+    """A user's aggregate: an accumulator that begins, takes values, meets others of its kind and gives a result."""
+
+    def create(self) -> Any: ...
+
+    def add(self, accumulator: Any, value: Any) -> Any: ...
+
+    def merge(self, a: Any, b: Any) -> Any: ...
+
+    def result(self, accumulator: Any) -> Any: ...
+
+
+def folded(readings: DataFrame, size: str, fold: Fold, kind: str, name: str, value: str = "temperature", keys: tuple[str, ...] = ("id",), salts: int = 16) -> DataFrame:
+    """A user's aggregate of each window.
+
+    A window's rows are dealt over ``salts`` accumulators first, which are then
+    merged, so no task needs all rows of a hot window.
+    """
+    window = [*keys, "__end"]
+    types = {f.name: f.dataType.simpleString() for f in readings.schema}
+    shape = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", __end timestamp"
+
+    def some(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        acc = fold.create()
+        for v in rows["__v"]:
+            acc = fold.add(acc, v)
+        return pd.DataFrame([[*key[:-1], pickle.dumps(acc)]], columns=[*window, "__acc"])
+
+    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        acc = functools.reduce(fold.merge, map(pickle.loads, parts["__acc"]))
+        return pd.DataFrame([[*key, fold.result(acc)]], columns=[*window, name])
+
+    placed = readings.select(*keys, F.window("ts", size)["end"].alias("__end"), F.col(value).alias("__v"))
+    salted = placed.withColumn("__salt", F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.lit(salts)))
+    parts = salted.groupBy(*window, "__salt").applyInPandas(some, f"{shape}, __acc binary")
+    done = parts.groupBy(*window).applyInPandas(whole, f"{shape}, `{name}` {kind}")
+    return done.select(*keys, millis(F.col("__end")).alias("end_ms"), name)
+
+
 def assigned(readings: DataFrame, windows: Column, aggregates: list[Column], keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """A custom assigner: ``windows`` is an array of (start, end) each row belongs to."""
     return readings.withColumn("window", F.explode(windows)).groupBy(*keys, "window").agg(*aggregates)

@@ -6,15 +6,17 @@ are rounded to four decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import millis
 from ..model import HOUR_MS, THRESHOLD_UPDATE, readings
 from ..operators import control, enrich, late, rolling, stateless, windows
-from ..sources import generators
+from ..sources import generators, jdbc
 from ..streaming import jobs
 
 H = HOUR_MS
@@ -122,6 +124,39 @@ def window_min_temp_udf(spark, sf_dir):
     return windows.reduced(readings(spark, sf_dir), "15 hours", min, "min_temp")
 
 
+class MeanFold:
+    """An average as (sum, count)."""
+
+    def create(self) -> tuple[float, int]:
+        return 0.0, 0
+
+    def add(self, acc: tuple[float, int], value: float) -> tuple[float, int]:
+        return acc[0] + value, acc[1] + 1
+
+    def merge(self, a: tuple[float, int], b: tuple[float, int]) -> tuple[float, int]:
+        return a[0] + b[0], a[1] + b[1]
+
+    def result(self, acc: tuple[float, int]) -> float:
+        return acc[0] / acc[1]
+
+
+@query("window_avg_temp_by_fold", f"SELECT id, {_end(15)} AS end_ms, round(avg(temperature), 4) AS avg_temp FROM r GROUP BY ALL")
+def window_avg_temp_by_fold(spark, sf_dir):
+    return windows.folded(readings(spark, sf_dir), "15 hours", MeanFold(), "double", "avg_temp").withColumn("avg_temp", r4("avg_temp"))
+
+
+def _spread(key: tuple, start: pd.Timestamp, end: pd.Timestamp, rows: pd.DataFrame) -> pd.DataFrame:
+    """A window function that needs all rows at once: the median of a window, its length and its end."""
+    return pd.DataFrame([[key[0], int(end.timestamp() * 1000), int((end - start).total_seconds()), len(rows), float(rows["temperature"].median())]], columns=["id", "end_ms", "seconds", "cnt", "median_temp"])
+
+
+@query("window_process_function", f"SELECT id, {_end(5)} AS end_ms, CAST({5 * H} // 1000 AS BIGINT) AS seconds, count(*) AS cnt, round(median(temperature), 4) AS median_temp FROM r GROUP BY ALL")
+def window_process_function(spark, sf_dir):
+    some = readings(spark, sf_dir).select("id", "ts", "temperature")
+    told = windows.processed(some, "5 hours", _spread, "id string, end_ms long, seconds long, cnt long, median_temp double")
+    return told.withColumn("median_temp", r4("median_temp"))
+
+
 @query("window_avg_temp", f"SELECT id, {_end(15)} AS end_ms, round(avg(temperature), 4) AS avg_temp FROM r GROUP BY ALL")
 def window_avg_temp(spark, sf_dir):
     return windows.average(readings(spark, sf_dir), "15 hours").withColumn("avg_temp", r4("avg_temp"))
@@ -373,3 +408,15 @@ def exactly_once_file_sink(spark, sf_dir):
 @query("write_ahead_sink", GLOBAL_AVERAGE)
 def write_ahead_sink(spark, sf_dir):
     return jobs.averages_through_write_ahead(spark, readings(spark, sf_dir))
+
+
+@query("two_phase_file_sink", GLOBAL_AVERAGE)
+def two_phase_file_sink(spark, sf_dir):
+    return jobs.averages_through_transactions(spark, readings(spark, sf_dir))
+
+
+@query("upsert_sink", "SELECT id, round((arg_max(temperature, event_id) - 32) * (5.0 / 9.0), 4) AS temp FROM r GROUP BY id")
+def upsert_sink(spark, sf_dir):
+    """Over a database in the driver's process, so for a session of one process; ``jobs`` takes any address."""
+    url = jdbc.memory_url(f"upserts{uuid.uuid4().hex}")
+    return jobs.latest_through_upserts(spark, stateless.celsius(readings(spark, sf_dir)), url).select("id", r4("temp").alias("temp"))

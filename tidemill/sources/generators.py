@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import random
 import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -33,9 +33,9 @@ def start_temperatures(sensors: int, seed: object) -> list[float]:
     return [65 + 20 * _gauss(seed, "start", k) for k in range(sensors)]
 
 
-def step(temps: list[float], ms: int, seed: object) -> list[float]:
-    """One tick of the walks; the draw depends on the tick's time and the present temperature."""
-    return [t + 0.5 * _gauss(seed, ms ^ int(t), k) for k, t in enumerate(temps)]
+def step(temps: list[float], ms: int, seed: object, numbers: Sequence[int] | None = None) -> list[float]:
+    """One tick of the walks of sensors ``numbers``; the draw depends on the tick's time and the present temperature."""
+    return [t + 0.5 * _gauss(seed, ms ^ int(t), k) for k, t in zip(range(len(temps)) if numbers is None else numbers, temps, strict=True)]
 
 
 @dataclass
@@ -74,15 +74,18 @@ class SensorReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         self.now = end if self.now is None or end["tick"] > self.now["tick"] else self.now
-        return [Span(start["tick"], end["tick"], list(range(len(t := json.loads(start["temps"])))), t)]
+        # What an offset remembers is dealt by index over the subtasks of now, however many there were before.
+        temps = json.loads(start["temps"])
+        dealt = [range(k, len(temps), self.subtasks) for k in range(self.subtasks)]
+        return [Span(start["tick"], end["tick"], list(some), [temps[k] for k in some]) for some in dealt if some]
 
     def read(self, partition: Span) -> Iterator[tuple]:
         temps = partition.temps
         for n in range(partition.first, partition.last):
             ms = self.start_ms + (n + 1) * TICK_MS
-            temps = step(temps, ms, self.seed)
-            for k in partition.numbers:
-                yield f"sensor_{k + self.first_number}", _at(ms), temps[k]
+            temps = step(temps, ms, self.seed, partition.numbers)
+            for k, t in zip(partition.numbers, temps, strict=True):
+                yield f"sensor_{k + self.first_number}", _at(ms), t
 
     def commit(self, end: dict) -> None:
         pass
