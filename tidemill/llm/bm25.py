@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpoint, forget, slices, trim
+from .common import checkpoint, forget, slices, trim
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -352,8 +352,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc
     held = shards.withColumn("group", F.pmod(dealt_to, F.lit(groups)).cast("int")).withColumn("part", each(blocks))
     held = held.select(task.alias("task"), F.lit(1).alias("kind"), F.col("at").alias("seq"), binary("weights"), *SHARD)
     dealt = sent.union(held).repartitionById(blocks * groups, "task").sortWithinPartitions("task", "kind", "seq")
-    with arrow_rows(spark, 4):  # a row may be a whole shard
-        found = checkpoint(dealt.mapInArrow(_search(k, mean_length), "query long, doc_id long, score double"))
+    # A row may be a whole shard.
+    found = checkpoint(dealt.mapInArrow(_search(k, mean_length), "query long, doc_id long, score double"), rows=4)
     named: Column = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     by_score = W.partitionBy("query").orderBy(F.round("score", 9).desc(), F.col("doc_id").asc_nulls_last())
     merged = found.withColumn("doc_id", named).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)

@@ -24,10 +24,12 @@ def forget() -> None:
     """Called where an operator that remembers nothing starts in a worker."""
     for x in WORKER_MEMORY:
         x.clear()
+    trim()
 
 
 def trim() -> None:
     """Give freed memory back to the system, where its C library can; large arrays otherwise stay with the worker."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
@@ -52,12 +54,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and cut its lineage there."""
+def checkpoint(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and cut its lineage there; Arrow batches have ``rows`` rows meanwhile."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    with arrow_rows(spark, rows):
+        return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

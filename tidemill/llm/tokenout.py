@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, forget, slices, sums_before, trim
+from .common import BATCH_ROWS, arrow_rows, estimated_bytes, forget, slices, sums_before, trim
 from .tokenizer import encoder
 
 #: Bytes of input for each shard.  Fixed by what a reader holds of a shard at once.
@@ -94,7 +94,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None,
         trim()
 
     # A string column holds any bytes; the text writer copies them as they are.
-    ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
+    with arrow_rows(spark, BATCH_ROWS):
+        ordered.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
     index = records(spark, path).select("shard", "doc_id", "byte_offset", "byte_length", "n_tokens", "start_in_shard")
     index.write.parquet(f"{path}/index")
 

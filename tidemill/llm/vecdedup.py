@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from . import common
 from .components import components
 
 THRESHOLD = 0.93
@@ -57,6 +57,11 @@ BITS = 48
 BLOCK, LARGEST_BLOCK, BLOCKS = 128, 2048, 16
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Vectors are short beside texts, so batches hold more of them."""
+    return common.checkpoint(df, rows=4096)
+
+
 def passes_for(n: int, window: int = WINDOW, threshold: float = THRESHOLD, spread: float = 1.0) -> int:
     """Passes for ``n`` vectors of one label that lie ``spread`` from their mean on the average.
 
