@@ -193,14 +193,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", placed
     the one whose hash over all columns is smallest, so neither the order of
     rows nor the partitioning matters, and no text is lost where an id stands
     on several.  ``placed`` gives the component of each row.  Whole rows move
-    once: rows that agree in all columns meet, map side first, and only named
-    ones stay.
+    once at most, to meet the names of those kept, and not at all where these
+    are few enough for Spark to broadcast.
     """
     columns = {c: f"__{k}" for k, c in enumerate(docs.columns)}  # so that no name clashes
     own = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
     h1, h2 = _row_names(own)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     rows = own.select(F.col(columns[doc_id]).alias("doc_id"), F.col(columns[text]).alias("text"), h1.alias("h1"), h2.alias("h2"))
-    kept = checkpoint(placed(rows).groupBy("component").agg(F.min(key).alias("k")).select("k.h1", "k.h2"))
-    named = own.withColumns({"h1": h1, "h2": h2}).dropDuplicates(["h1", "h2"]).join(kept, ["h1", "h2"], "left_semi")
+    found = placed(rows)
+    kept = checkpoint(found.groupBy("component").agg(F.min(key).alias("k")).select("k.h1", "k.h2"))
+    repeats = checkpoint(found.join(kept, ["h1", "h2"], "left_semi").groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"))
+    marked = own.withColumns({"h1": h1, "h2": h2})
+    if repeats.limit(1).count():  # only rows that agree in all columns need to meet
+        once = marked.join(repeats, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+        named = marked.join(kept.join(repeats, ["h1", "h2"], "left_anti"), ["h1", "h2"], "left_semi").unionByName(once)
+    else:
+        named = marked.join(kept, ["h1", "h2"], "left_semi")
     return named.select(*[F.col(n).alias(c) for c, n in columns.items()])
