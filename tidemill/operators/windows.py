@@ -1,22 +1,32 @@
 """Tumbling event-time windows, half open and aligned to the epoch.
 
-All are one partial and one final aggregation; they run on tables and on
-streams with a watermark.
+All but those with a Python function are one partial and one final
+aggregation; they run on tables and on streams with a watermark.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.expressions import iso_time, millis
 
+#: Rows of an Arrow batch that Python gives back.
+BATCH_ROWS = 10_000
+#: Accumulators that a task holds at once, but for a batch's.
+HELD = 50_000
+
 
 def tumbling(readings: DataFrame, size: str, aggregates: list[Column], keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """Aggregates by keys and window, with ``window`` kept."""
@@ -62,6 +72,23 @@ def reduced(readings: DataFrame, size: str, reduce: Callable[[pd.Series], float]
     return _ended(tumbling(readings, size, [folded("temperature").alias(name)]), name)
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rest of its rows) of batches sorted by their first ``keys`` columns; a group may span batches."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for key, group in itertools.groupby(rows, key=operator.itemgetter(slice(0, keys))):
+        yield key, [row[keys:] for row in group]
+
+
+def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), schema, strict=True)], schema=schema)
+
+
+def _together(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.repartition(*columns).sortWithinPartitions(*columns)
+
+
 def processed(readings: DataFrame, size: str, function: Callable[[tuple, pd.Timestamp, pd.Timestamp, pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """A function over (key, window's start, its end, its rows) that may give any rows.
 
@@ -88,31 +115,42 @@ class Fold(Protocol):
     def result(self, accumulator: Any) -> Any: ...
 
 
-def folded(readings: DataFrame, size: str, fold: Fold, kind: str, name: str, value: str = "temperature", keys: tuple[str, ...] = ("id",), salts: int = 16) -> DataFrame:
-    """A user's aggregate of each window.
+def folded(readings: DataFrame, size: str, fold: Fold, kind: str, name: str, value: str = "temperature", keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """A user's aggregate of each window; as in SQL, null values aren't added.
 
-    A window's rows are dealt over ``salts`` accumulators first, which are then
-    merged, so no task needs all rows of a hot window.
+    Each task folds what it reads of a window into one accumulator, HELD of
+    them at a time; those of a window are then merged.  So no task needs all
+    rows of a hot window.
     """
-    window = [*keys, "__end"]
+    window = [*keys, "end_ms"]
     types = {f.name: f.dataType.simpleString() for f in readings.schema}
-    shape = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", __end timestamp"
-
-    def some(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        acc = fold.create()
-        for v in rows["__v"]:
-            acc = fold.add(acc, v)
-        return pd.DataFrame([[*key[:-1], pickle.dumps(acc)]], columns=[*window, "__acc"])
-
-    def whole(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        acc = functools.reduce(fold.merge, map(pickle.loads, parts["__acc"]))
-        return pd.DataFrame([[*key, fold.result(acc)]], columns=[*window, name])
-
-    placed = readings.select(*keys, F.window("ts", size)["end"].alias("__end"), F.col(value).alias("__v"))
-    salted = placed.withColumn("__salt", F.pmod(F.xxhash64("__v", F.monotonically_increasing_id()), F.lit(salts)))
-    parts = salted.groupBy(*window, "__salt").applyInPandas(some, f"{shape}, __acc binary")
-    done = parts.groupBy(*window).applyInPandas(whole, f"{shape}, `{name}` {kind}")
-    return done.select(*keys, millis(F.col("__end")).alias("end_ms"), name)
+    shape = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", end_ms long"
+    parts_schema, done_schema = f"{shape}, __acc binary", f"{shape}, `{name}` {kind}"
+    parts_shape, done_shape = (to_arrow_schema(T.StructType.fromDDL(x)) for x in (parts_schema, done_schema))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Any] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            return _batches(((*key, pickle.dumps(acc)) for key, acc in held.items()), parts_shape)
+
+        for b in batches:
+            *of, end, values = (c.to_pylist() for c in b.columns)
+            for key, v in zip(zip(*of, end, strict=True), values, strict=True):
+                acc = held[key] if key in held else fold.create()
+                held[key] = acc if v is None else fold.add(acc, v)
+            if len(held) >= HELD:
+                yield from out()
+                held = {}
+        yield from out()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = ((*key, fold.result(functools.reduce(fold.merge, (pickle.loads(acc) for (acc,) in parts)))) for key, parts in _grouped(batches, len(window)))
+        return _batches(merged, done_shape)
+
+    placed = readings.select(*keys, F.window("ts", size).alias("__w"), F.col(value).alias("__v"))
+    placed = placed.select(*keys, millis(F.col("__w.end")).alias("end_ms"), "__v")
+    return _together(placed.mapInArrow(some, parts_schema), window).mapInArrow(whole, done_schema)
 
 
 def assigned(readings: DataFrame, windows: Column, aggregates: list[Column], keys: tuple[str, ...] = ("id",)) -> DataFrame:

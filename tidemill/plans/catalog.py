@@ -136,8 +136,8 @@ class MeanFold:
     def merge(self, a: tuple[float, int], b: tuple[float, int]) -> tuple[float, int]:
         return a[0] + b[0], a[1] + b[1]
 
-    def result(self, acc: tuple[float, int]) -> float:
-        return acc[0] / acc[1]
+    def result(self, acc: tuple[float, int]) -> float | None:
+        return acc[0] / acc[1] if acc[1] else None
 
 
 @query("window_avg_temp_by_fold", f"SELECT id, {_end(15)} AS end_ms, round(avg(temperature), 4) AS avg_temp FROM r GROUP BY ALL")
