@@ -89,18 +89,24 @@ def _together(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.repartition(*columns).sortWithinPartitions(*columns)
 
 
-def processed(readings: DataFrame, size: str, function: Callable[[tuple, pd.Timestamp, pd.Timestamp, pd.DataFrame], pd.DataFrame], schema: str, keys: tuple[str, ...] = ("id",)) -> DataFrame:
-    """A function over (key, window's start, its end, its rows) that may give any rows.
+def processed(readings: DataFrame, size: str, function: Callable[[tuple, int, int, dict[str, list]], Iterable[tuple]], schema: str, keys: tuple[str, ...] = ("id",), values: tuple[str, ...] = ("temperature",)) -> DataFrame:
+    """A function over (key, window's start and end in ms, its values by column) that gives any rows of ``schema``.
 
-    All rows of one window reach Python together, so it is for functions that
-    need them; what can be folded step by step belongs into ``folded``.
+    All values of one window reach Python together, so it is for functions that
+    need them; what can be folded step by step belongs into ``folded``.  Windows
+    pass by in sorted batches, many to a batch, so small ones cost little.
     """
+    shape = to_arrow_schema(T.StructType.fromDDL(schema))
+    window = F.window("ts", size)
+    n = len(keys) + 2
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return function(key[:-2], key[-2], key[-1], rows.drop(columns=["__start", "__end"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = (function(key[:-2], key[-2], key[-1], dict(zip(values, map(list, zip(*rows, strict=True)), strict=True))) for key, rows in _grouped(batches, n))
+        return _batches(itertools.chain.from_iterable(told), shape)
 
-    placed = readings.withColumn("__w", F.window("ts", size)).withColumns({"__start": F.col("__w.start"), "__end": F.col("__w.end")}).drop("__w")
-    return placed.groupBy(*keys, "__start", "__end").applyInPandas(run, schema)
+    placed = readings.select(*keys, window.alias("__w"), *[F.col(v).alias(f"__v{k}") for k, v in enumerate(values)])
+    placed = placed.select(*keys, millis(F.col("__w.start")).alias("__start"), millis(F.col("__w.end")).alias("__end"), *[f"__v{k}" for k in range(len(values))])
+    return _together(placed, [*keys, "__start", "__end"]).mapInArrow(run, schema)
 
 
 class Fold(Protocol):

@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,15 +144,16 @@ def window_avg_temp_by_fold(spark, sf_dir):
     return windows.folded(readings(spark, sf_dir), "15 hours", MeanFold(), "double", "avg_temp").withColumn("avg_temp", r4("avg_temp"))
 
 
-def _spread(key: tuple, start: pd.Timestamp, end: pd.Timestamp, rows: pd.DataFrame) -> pd.DataFrame:
-    """A window function that needs all rows at once: the median of a window, its length and its end."""
-    return pd.DataFrame([[key[0], int(end.timestamp() * 1000), int((end - start).total_seconds()), len(rows), float(rows["temperature"].median())]], columns=["id", "end_ms", "seconds", "cnt", "median_temp"])
+def _spread(key: tuple, start: int, end: int, rows: dict[str, list]) -> list[tuple]:
+    """A window function that needs all values at once: the median of a window, its length and its end."""
+    known = sorted((t for t in rows["temperature"] if t is not None), key=lambda t: (t != t, t))  # NaN last, as in SQL
+    middle = len(known) // 2
+    return [(*key, end, (end - start) // 1000, len(rows["temperature"]), (known[middle] + known[~middle]) / 2 if known else None)]
 
 
 @query("window_process_function", f"SELECT id, {_end(5)} AS end_ms, CAST({5 * H} // 1000 AS BIGINT) AS seconds, count(*) AS cnt, round(median(temperature), 4) AS median_temp FROM r GROUP BY ALL")
 def window_process_function(spark, sf_dir):
-    some = readings(spark, sf_dir).select("id", "ts", "temperature")
-    told = windows.processed(some, "5 hours", _spread, "id string, end_ms long, seconds long, cnt long, median_temp double")
+    told = windows.processed(readings(spark, sf_dir), "5 hours", _spread, "id string, end_ms long, seconds long, cnt long, median_temp double")
     return told.withColumn("median_temp", r4("median_temp"))
 
 
