@@ -1,14 +1,20 @@
 """Streams against tables, goldens of stateful operators, sources, sinks and restarts."""
 
+import os
 import socket
+import subprocess
+import sys
 import threading
 import time
 import uuid
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 from test_goldens import ARRIVALS, table
 
+import __spark_entry__ as entry
 from tidemill.functions.expressions import iso_time, millis
 from tidemill.model import readings
 from tidemill.operators import control, late, rolling, windows
@@ -235,6 +241,44 @@ def test_upsert_sink(spark, tmp_path):
     assert jdbc.lines(got) == ["a, 9.0", "b, 2.0", "c, 3.0", "z, 5.0"]
 
 
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": sys.argv[2], "spark.sql.shuffle.partitions": "4"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+import __spark_entry__ as entry
+entry.queries()["upsert_sink"](spark, sys.argv[1]).write.parquet(sys.argv[2] + "/got")
+spark.stop()
+"""
+
+
+def test_upserts_from_executors_of_their_own_processes(spark, sf_dir, tmp_path):
+    """A database in the driver's process can't be opened by executors; each would find an empty one of its own."""
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors' logs go to work in Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    gone = ("SPARK_ENV_LOADED", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")
+    env = {k: v for k, v in os.environ.items() if k not in gone} | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": f"{tmp_path}/local", "PYSPARK_PYTHON": sys.executable}
+    subprocess.run([sys.executable, "-c", CLUSTER, sf_dir, str(tmp_path)], env=env, cwd=tmp_path, check=True, timeout=180, capture_output=True)
+    assert same(spark.read.parquet(f"{tmp_path}/got"), entry.queries()["upsert_latest_temp"](spark, sf_dir))
+
+
+def test_upserts_of_odd_keys_through_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jdbc, "PART_ROWS", 2)
+    keys = ['with "quotes"', "with, comma", "line\nbreak", "é ü 日本", " blank "]
+    with jdbc.own_database(spark) as url:
+        jdbc.execute(spark, url, "CREATE TABLE temperatures (sensor VARCHAR(255) PRIMARY KEY, temp DOUBLE)")
+        write = sinks.upsert_sink(url, "temperatures", "sensor", "temp", "event_id")
+        for turn in range(2):
+            rows = [(k, key, None if turn and k == 1 else 1e-20 / 3 + k + turn) for k, key in enumerate(keys)]
+            write(spark.createDataFrame(rows, "event_id long, sensor string, temp double"), turn)
+        got = jdbc.read_through(spark, url, "temperatures", f"{tmp_path}/out")
+    assert {tuple(r) for r in got.collect()} == {(r[1], r[2]) for r in rows}
+    assert not os.path.exists(url.split(":")[2].split(";")[0])
+
+
 def test_lookup_of_live_results(spark, some, tmp_path):
     running = stream(spark, some, tmp_path).groupBy("id").agg(F.max("temperature").alias("m"))
     name = f"t{uuid.uuid4().hex}"

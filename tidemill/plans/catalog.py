@@ -6,7 +6,6 @@ are rounded to four decimals on both sides.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -417,6 +416,6 @@ def two_phase_file_sink(spark, sf_dir):
 
 @query("upsert_sink", "SELECT id, round((arg_max(temperature, event_id) - 32) * (5.0 / 9.0), 4) AS temp FROM r GROUP BY id")
 def upsert_sink(spark, sf_dir):
-    """Over a database in the driver's process, so for a session of one process; ``jobs`` takes any address."""
-    url = jdbc.memory_url(f"upserts{uuid.uuid4().hex}")
-    return jobs.latest_through_upserts(spark, stateless.celsius(readings(spark, sf_dir)), url).select("id", r4("temp").alias("temp"))
+    """Over a database in the driver's process; ``jobs`` takes any address."""
+    with jdbc.own_database(spark) as url:
+        return jobs.latest_through_upserts(spark, stateless.celsius(readings(spark, sf_dir)), url).select("id", r4("temp").alias("temp"))

@@ -137,9 +137,10 @@ def averages_through_transactions(spark: SparkSession, readings: DataFrame, file
 
 def latest_through_upserts(spark: SparkSession, readings: DataFrame, url: str, files: int = 4) -> DataFrame:
     """Each sensor's latest temperature, as a table holds it after every batch was merged into it."""
-    stream = replay(spark, readings, f"{job_folder(spark, 'upserts')}/input", "event_id", files)
+    folder = job_folder(spark, "upserts")
+    stream = replay(spark, readings, f"{folder}/input", "event_id", files)
     jdbc.execute(spark, url, "CREATE TABLE temperatures (sensor VARCHAR(255) PRIMARY KEY, temp DOUBLE)")
     write = upsert_sink(url, "temperatures", "sensor", "temp", "event_id")
     told = stream.select(F.col("id").alias("sensor"), F.col("temperature").alias("temp"), "event_id")
-    run_to_end(told.writeStream.foreachBatch(write).option("checkpointLocation", job_folder(spark, "upserts-checkpoint")))
-    return spark.read.format("jdbc").options(url=url, dbtable="temperatures", driver=jdbc.DERBY).load().toDF("id", "temp")
+    run_to_end(told.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint"))
+    return jdbc.read_through(spark, url, "temperatures", f"{folder}/output").toDF("id", "temp")
