@@ -137,3 +137,27 @@ def test_null_ids_and_blank_texts(spark, no_docs):
     got = sorted((tuple(r) for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()), key=str)
     assert got == sorted([(None, 7), (7, 7), (3, 3), (4, 3), (5, 3)], key=str)
     assert shingles.classes(no_docs).count() == 0 and shingles.keep_one(no_docs).count() == 0
+
+
+def test_components_meet_nodes_not_their_places_in_buckets(spark, monkeypatch):
+    """A node has a place in many buckets, and their number may grow faster than the table."""
+    monkeypatch.setattr(shingles, "COMMON", 100)
+    seen, place = [], shingles._place_members
+
+    def spy(held, linked):
+        out = place(held, linked)
+        seen.append((held.count(), held.select("node").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(shingles, "_place_members", spy)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(k, " ".join(passage + [f"q{k}x{i}" for i in range(30)])) for k in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_classes(rows)
+    assert seen and all(held == nodes <= 40 for held, nodes, _ in seen) and seen[0][2] > 40
+
+
+def test_common_shingles_are_found_at_a_rate_that_holds(spark):
+    """Of 100,000 texts so many are sampled that a shingle in one of 400 counts as common."""
+    df = spark.range(100_000).selectExpr("cast(concat(if(id % 400 = 0, 'a b c d e', 'x'), ' ', id, ' ', id, ' ', id, ' ', id) as binary) as text")
+    assert shingles.shingles(b"a b c d e")[0] in shingles._common(df)

@@ -50,7 +50,8 @@ SHINGLE = 5
 #: Texts are near from OF shingles in common out of every OUT of their union.
 OF, OUT = 4, 5
 #: Texts sampled for common shingles: so many at least, and one of so many; a shingle is common in COMMON of them; so many are taken at most.
-SAMPLE, RATE, COMMON, TAKEN = 4_000, 256, 3, 1_000_000
+#: A rate that fell with the table would let buckets grow faster than it.
+SAMPLE, RATE, COMMON, TAKEN = 4_000, 16, 3, 1_000_000
 #: Words of 64 parities of a set of up to 1024 shingles; larger sets have as many parities as shingles, to the next power of two.
 PARITIES = 16
 #: Names of sets that are broadcast at most.
@@ -125,7 +126,8 @@ def _common(texts: DataFrame) -> np.ndarray:
     one_of = max(1, min(RATE, texts.count() // SAMPLE))
     sample = marked.filter(F.pmod("h", F.lit(one_of)) == 0).dropDuplicates(["h"]).select("text")
     counts = sample.mapInArrow(_sets, "node long, s array<long>").select(F.explode("s").alias("t")).groupBy("t").count().filter(F.col("count") >= COMMON)
-    return np.sort(np.array([r["t"] for r in counts.orderBy(F.desc("count"), "t").limit(TAKEN).collect()], dtype=np.int64))
+    taken = counts.orderBy(F.desc("count"), "t").limit(TAKEN).select("t").toArrow()  # rows as Python objects would take the driver 50 times the memory
+    return np.sort(taken["t"].to_numpy())
 
 
 def _like_sized(a: str, b: str) -> Column:
@@ -168,13 +170,16 @@ def _by_marks(nodes: DataFrame) -> DataFrame:
     return same.union(found.join(of[0], "a").join(of[1], "b").select(*_ordered("ra", "rb")))
 
 
-def _place_members(members: DataFrame, linked: DataFrame) -> DataFrame:
+def _place_members(held: DataFrame, linked: DataFrame) -> DataFrame:
     """Members (t, i, node, n) of buckets with several components: theirs, the bucket's most frequent one and how large that is there.
 
-    Members of one component need no pairs among themselves.
+    ``held`` has a row for each node with its places ``at`` (t, i) in buckets,
+    so components meet nodes and not each of their places.  Members of one
+    component need no pairs among themselves.
     """
     joined = checkpoint(components(linked))
-    told = checkpoint(members.join(joined, "node", "left").select("t", "i", "node", "n", F.coalesce("component", "node").alias("component")))
+    whose = held.join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), F.explode("at").alias("x"))
+    told = checkpoint(whose.select("x.t", "x.i", "node", "n", "component"))
     sizes = told.groupBy("t", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("t").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("several"))
     return checkpoint(told.join(sizes.filter("several > 1").select("t", F.col("m.component").alias("main"), F.col("m.k").alias("largest")), "t"))
 
@@ -203,14 +208,14 @@ def links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     twos = buckets.filter("many = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"))
     pairs = members.filter("node <> pivot").select(*_ordered("pivot", "node")).union(twos).union(_by_marks(nodes)).distinct()
     linked = _near(pairs, nodes, texts)
-    members = members.filter("node <> pivot").select("t", "i", "node", "n")
-    placed, turn, before = _place_members(members, linked), 0, None
+    held = checkpoint(members.filter("node <> pivot").groupBy("node", "n").agg(F.collect_list(F.struct("t", "i")).alias("at")))
+    placed, turn, before = _place_members(held, linked), 0, None
     while True:
-        held, dense = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("component") != F.col("main"), F.col("largest"))), F.lit(0))).first()
-        if dense <= DENSE * held or (before and 2 * dense > before):
+        rows, dense = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("component") != F.col("main"), F.col("largest"))), F.lit(0))).first()
+        if dense <= DENSE * rows or (before and 2 * dense > before):
             break
         linked = checkpoint(linked.union(_near(_by_some_members(placed, turn), nodes, texts)))
-        placed, turn, before = _place_members(members, linked), turn + 1, dense
+        placed, turn, before = _place_members(held, linked), turn + 1, dense
     small = _apart(placed.filter(F.col("largest") < LARGE))
     large = placed.filter(F.col("largest") >= LARGE).join(nodes.select(F.col("fp").alias("node"), "odd"), "node")
     large = _apart(large, _differ(F.col("x.odd"), F.col("y.odd")) * (OF + OUT) <= (F.col("x.n") + F.col("y.n")) * (OUT - OF))
