@@ -141,3 +141,10 @@ def test_clashing_columns_and_a_very_long_text(spark):
 
 def test_empty_table(no_docs):
     assert packing.pack(no_docs, BYTES).count() == 0
+
+
+def test_places_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, f"text {k % 7} of some words" * (k % 9)) for k in range(300)] + [(5, "again")] * 4 + [(None, "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(str, packing.pack(df.repartition(n).orderBy(F.xxhash64("text", "doc_id", F.lit(n))), BYTES, capacity=64).collect())) for n in (1, 5)]
+    assert got[0] == got[1]

@@ -123,11 +123,12 @@ def place(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     by_length = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, _ = plan(by_length, capacity)
     salts = cut_pieces.sparkSession.createDataFrame([(k, -(-n // CELL)) for k, n in by_length.items()], "length long, __salts long")
-    # Numbers of checkpointed rows don't change, and tell even repeated rows apart.
-    salted = cut_pieces.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64("__at"), F.col("__salts"))).drop("__salts")
+    # Places follow from what pieces are, not from the order in which rows came; numbers tell only repeated rows apart, which are alike.
+    told = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
+    salted = cut_pieces.withColumn("__at", F.monotonically_increasing_id()).join(F.broadcast(salts), "length").withColumn("__salt", F.pmod(F.xxhash64(*told), F.col("__salts"))).drop("__salts")
     cells = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = sums_before(cells, "__salt", "__n", ("length",)).select("length", "__salt", "before")
-    within = F.row_number().over(W.partitionBy("length", "__salt").orderBy("__at")) - 1
+    within = F.row_number().over(W.partitionBy("length", "__salt").orderBy(*told, "__at")) - 1
     ranked = salted.withColumn("__rank", within).join(before, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("before"))
     table = np.array(sorted((r[0], r[1], r[3], r[4], r[5]) for r in rows), dtype=np.int64).reshape(-1, 5)
     return ranked.select(*cut_pieces.columns, "__rank").mapInArrow(_placer(table), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long")
