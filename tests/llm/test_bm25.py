@@ -1,7 +1,9 @@
 import random
+import time
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemill.llm import bm25
@@ -112,3 +114,76 @@ def test_defined_cases(spark, no_docs):
     assert sorted((str(r["query_id"]), r["rank"], r["doc_id"]) for r in got) == [("1", 1, 1), ("1", 1, 1), ("1", 2, 1), ("1", 2, 1), ("None", 1, 1), ("None", 2, 1)]
     assert bm25.search(df, no_docs).count() == 0
     assert bm25.search(no_docs, df).count() == 0
+
+
+@pytest.mark.parametrize("settings", [{}, {"ROWS": 40}, {"STEPS": 1, "FEW": 0}, {"STEPS": 5, "DENSE": 64, "POSTINGS": 100}, {"DENSE": 2, "FEW": 1000}])
+def test_a_batch_gives_what_its_queries_give(words, monkeypatch, settings):
+    """Copies, equal scores, nulls, blanks and unknown words among a batch's queries; cold and with thresholds side by side."""
+    for name, value in ({"BLOCK": 32} | settings).items():
+        monkeypatch.setattr(bm25, name, value)
+    rng = random.Random(9)
+    pairs = [(k, " ".join(rng.choices(words[: 30 + k % 300], k=rng.randint(1, 60)))) for k in range(900)]
+    pairs += [(900 + k, pairs[7][1]) for k in range(60)] + [(960, None), (961, " ")]
+    counts = [(k, bm25.terms(t)) for k, t in pairs]
+    df, n = {}, len(pairs)
+    for _, (names, _) in counts:
+        for t in names.tolist():
+            df[t] = df.get(t, 0) + 1
+    mean = sum(int(c.sum()) for _, (_, c) in counts) / n
+    queries = [*pairs[::31], *pairs[-5:], (-1, "unknown"), (-2, words[0]), (-3, " ".join(words))]
+    want = brute.bm25(pairs, queries, 10)
+    weighed = [(names, asked * np.array([np.log1p((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in names.tolist()])) for names, asked in (bm25.terms(t) for _, t in queries)]
+    shards = [bm25.Shard(bm25.build(counts[a:b]), mean) for a, b in ((0, 500), (500, n))]
+    for carried in (False, True):
+        hits, least = [[] for _ in queries], np.zeros(len(queries))
+        for shard in shards:
+            got = shard.tops(bm25.Batch(weighed), 10, least)
+            for i, (names, weights) in enumerate(weighed):
+                more = [x.tolist() for x in got.get(i, (np.zeros(0), np.zeros(0)))]
+                assert more == [x.tolist() for x in shard.top(names, weights, 10, least[i])]
+                hits[i] = sorted([*hits[i], *zip(*more, strict=True)], key=lambda h: (-round(h[1], 9), h[0]))[:10]
+                least[i] = hits[i][9][1] if carried and len(hits[i]) == 10 else 0.0
+        for (q, _), found_ in zip(queries, hits, strict=True):
+            assert [d for d, _ in found_] == [d for d, _ in want[q]]
+            assert [s for _, s in found_] == pytest.approx([s for _, s in want[q]])
+
+
+def test_many_long_queries_cost_less_than_reading_their_postings_one_by_one():
+    """A task's queries and shards; what is in many documents is read for all queries together."""
+    rng = np.random.default_rng(4)
+    vocabulary = np.sort(rng.integers(0, 1 << 63, 30_000).astype("<u8"))
+    share = 1 / (5 + np.arange(30_000))
+    share = rng.permutation(share / share.sum())
+
+    def text():
+        drawn = np.bincount(rng.choice(30_000, 500, p=share), minlength=30_000)
+        return vocabulary[drawn > 0], drawn[drawn > 0].astype("<i4")
+
+    counts = [(k, text()) for k in range(4096)]
+    df = np.bincount(np.concatenate([np.searchsorted(vocabulary, names) for _, (names, _) in counts]), minlength=30_000)
+    queries = [(k, names, c * np.log1p((4096 - df[at] + 0.5) / (df[at] + 0.5))) for k, (names, c) in counts[::16] for at in [np.searchsorted(vocabulary, names)]]
+    packed = bm25.build(counts)
+    blank = dict.fromkeys(bm25.SHARD)
+    rows = [{"task": 0, "kind": 0, "place": 0, "seq": k, **blank, "terms": names.tobytes(), "weights": w.tobytes()} for k, names, w in queries]
+    rows += [{"task": 0, "kind": 1, "place": i, "seq": i, **packed, "weights": None} for i in range(3)]
+    binary = [(c, pa.binary()) for c in (*bm25.SHARD, "weights")]
+    given = pa.RecordBatch.from_pylist(rows, schema=pa.schema([*((c, pa.int64()) for c in ("task", "kind", "place", "seq")), *binary]))
+    terms, slots, tf = (np.frombuffer(packed[c], kind) for c, kind in (("terms", "<u8"), ("slots", "<u2"), ("tf", "<i4")))
+    first, impact = np.append(np.frombuffer(packed["starts"], "<i4"), len(slots)), tf * 2.2 / (tf + 1.2)
+
+    def plain():
+        for _, names, w in queries:
+            at = np.searchsorted(terms, names)
+            posting = np.concatenate([np.arange(first[t], first[t + 1]) for t in at])
+            np.bincount(slots[posting], impact[posting] * np.repeat(w, first[at + 1] - first[at]), 4096)
+
+    def timed(f):
+        took = []
+        for _ in range(3):
+            begun = time.process_time()
+            f()
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    ours, theirs = timed(lambda: list(bm25._search(10, 500.0)(iter([given])))), 3 * timed(plain)
+    assert ours < theirs

@@ -5,24 +5,33 @@ row that holds its postings, sorted by term and document, as packed arrays.
 Document counts, total length and document frequencies are summed over all
 shards, so scores don't depend on how documents fell into shards.
 
-Documents of a shard stand in blocks of 256, and each term knows its largest
-contribution to a score in each block it occurs in.  A query's terms are
-ordered from the least such contribution to the greatest, and in each block
-contributions are summed in that order.  The term whose sum reaches the query's
-k-th best score so far is the block's *pivot*: a document that holds only terms
-before it can't be among the best, so only postings from the pivot on are read.
-They give each document they name a partial score; where that and the sum
-before the pivot don't reach the threshold together, the document is passed
-over.  What stands before the pivot is read in steps, greatest terms first;
-after each step less can still be added, and more documents are passed over.
-Postings of the steps are sought one by one for the documents left, or, where
-these are many, read in blocks that hold one of them.  Blocks go from the most promising down, in rounds, and the threshold
-rises with each round; a block whose whole sum doesn't reach it isn't read at
-all.  (A query that brings a threshold from other shards takes all blocks that
-reach it in one round.)  That is WAND's rule with block maxima (Broder et al., 2003; Ding and
-Suel, 2011), with all of a round's blocks advanced at once instead of cursor by
-cursor.  No document that belongs to the top k is passed over, so merging the
-lists of shards gives the exact top k.
+Documents of a shard stand in blocks of 256, alike ones together.  Where a
+term is in one of 16 documents of a block or more, its contributions there are
+a *row* of a matrix, beside the largest of them.  All other postings are *thin*:
+a list for each term, beside its largest contribution in the shard.  Queries
+meet a shard in batches of 256, those alike together, so that one product of
+matrices reads a block's rows for a batch.
+
+WAND's rule with block maxima (Broder et al., 2003; Ding and Suel, 2011) runs
+from terms that give much and name few documents to those that give little and
+name many: thin postings, then a block's rows in steps, the fullest last.  What
+is still to come in a block can add its summed maxima at most.  While that sum
+reaches the query's k-th best score so far, any document of the block may be
+among the best.  From the *pivot* on, where it no longer does, only documents
+whose partial scores and that sum reach the threshold together may be: if there
+are none, the block's other rows are not read for this query; if there are few,
+these documents are scored one by one; else the next step is read.  A query
+whose maxima in a shard don't reach its threshold reads nothing there.  A query
+that brings no threshold takes blocks from the most promising down, in rounds,
+and its threshold rises with each round.  All queries of a batch are advanced
+at once instead of cursor by cursor.
+
+Sums over rows are of single precision and decide only who is passed over: all
+products are positive, so a sum of n errs by n / 2**24 of itself at most, in any
+order, and thresholds are lowered by twice that.  Documents that reach them are
+scored again in double precision, term by term in one order, so that results
+don't depend on batches, blocks or steps.  No document that belongs to the top
+k is passed over, so merging the lists of shards gives the exact top k.
 
 A task holds one block of up to QUERY_BLOCK queries, packed, and lets the
 shards of one group pass by, one at a time; a query's k-th best score so far
@@ -54,7 +63,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpoint, forget, slices, trim
+from .common import checkpoint, forget, one_thread, slices, trim
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -69,10 +78,18 @@ TASK_BYTES = 512 << 20
 TASKS_A_CORE = 2
 #: Blocks of a shard's first round; each further round takes so many times more.
 FIRST_BLOCKS, MORE = 8, 8
-#: Shares of the threshold that the unread sums of a block go down to, step by step.
-DESCENT = (1.0, 0.3, 0.0)
-#: A posting sought costs about as much as so many read in a row.
-SEEK = 8
+#: Queries that meet a shard together.
+BATCH = 256
+#: A term is a row in a block where it is in one of so many documents at least.
+DENSE = 16
+#: Rows of a shard, 1 kB each; what stands in other blocks than the fullest is read posting by posting.
+ROWS = 1 << 16
+#: Steps in which the rows of a block are read.
+STEPS = 2
+#: Documents of a block that are scored one by one rather than with their block.
+FEW = 4
+#: Postings that are added up at once, so that they stay in the processor's cache.
+POSTINGS = 1 << 17
 NO_ID = -(1 << 63)
 #: Far above rounding in a sum, far below a difference of scores that matters.
 SLACK = 1e-9
@@ -166,105 +183,225 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
+def gains(tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """What occurrences of terms give to a score, but for the terms' weights."""
+    return tf * (K1 + 1) / (tf + norm)
+
+
+class Batch:
+    """Queries that meet a shard together; their terms are named once."""
+
+    def __init__(self, queries: list[Terms]):
+        self.size = len(queries)
+        self.names, at = np.unique(np.concatenate([np.zeros(0, "<u8"), *(n for n, _ in queries)]), return_inverse=True)
+        self.name_of = at.astype(np.int32)
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in queries)])
+        self.owner = np.repeat(np.arange(len(queries), dtype=np.int32), [len(n) for n, _ in queries])
+
+
 class Shard:
     """A shard opened for scoring with the corpus's mean length."""
 
     def __init__(self, packed: dict, mean_length: float):
         get = lambda c, kind: np.frombuffer(packed[c], kind)
         self.ids, length = get("ids", "<i8"), get("lengths", "<i8")
-        self.terms, self.slots, tf = get("terms", "<u8"), get("slots", "<u2"), get("tf", "<i4")
-        starts = np.append(get("starts", "<i4").astype(np.int64), len(tf))
-        self.keys = np.repeat(np.arange(len(self.terms)) << 16, np.diff(starts)) | self.slots
-        norm = K1 * (1 - B + B * length / mean_length)
-        self.impact = tf * (K1 + 1) / (tf + norm[self.slots])
-        block = self.slots // BLOCK
+        self.terms, slots, tf = get("terms", "<u8"), get("slots", "<u2"), get("tf", "<i4")
+        self.starts = np.append(get("starts", "<i4").astype(np.int64), len(tf))
+        self.norm = K1 * (1 - B + B * length / mean_length)
+        # The postings by document.
+        order = np.argsort(slots, kind="stable")
+        self.doc_first = np.searchsorted(slots[order], np.arange(len(self.ids) + 1))
+        self.doc_tf = tf[order]
+        self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.starts))[order]
+        del order
+        impact = np.empty(len(tf), dtype=np.float32)
+        for a in range(0, len(tf), POSTINGS):
+            part = slice(a, a + POSTINGS)
+            impact[part] = gains(tf[part], self.norm[slots[part]])
+        self.n_blocks = len(self.ids) // BLOCK + 1
+        block = slots // BLOCK
         new = np.ones(len(tf), dtype=bool)
         new[1:] = block[1:] != block[:-1]
-        new[starts[:-1]] = True
+        new[self.starts[:-1]] = True
         entry = np.flatnonzero(new)  # one for each term and block
-        self.first, self.block = np.append(entry, len(tf)), block[entry]
-        self.most = np.maximum.reduceat(self.impact, entry) if len(entry) else np.zeros(0)
-        self.entries = np.searchsorted(entry, starts)
-        self.n_blocks = len(self.ids) // BLOCK + 1
-        self.block_of = np.arange(len(self.ids)) // BLOCK
-        #: Postings of the queries' terms, and those that were read.
-        self.held = self.read = 0
+        self.block, self.entries = block[entry], np.searchsorted(entry, self.starts)
+        self.most = np.maximum.reduceat(impact, entry) if len(entry) else np.zeros(0, dtype=np.float32)
+        del block, new
+        thin = self._rows(np.append(entry, len(tf)), slots, impact)
+        self.thin_first = np.searchsorted(thin, self.starts)
+        self.thin_slots, self.thin_impact = slots[thin], impact[thin]
+        #: The most that a term gives outside rows.
+        self.thin_most = np.zeros(len(self.terms))
+        some = np.flatnonzero(np.diff(self.thin_first))
+        if len(some):
+            self.thin_most[some] = np.maximum.reduceat(self.thin_impact, self.thin_first[some])
+        #: Postings of the queries' terms, those that were read, and those of them that were added up one by one.
+        self.held = self.read = self.single = 0
+
+    def _rows(self, first: np.ndarray, slots: np.ndarray, impact: np.ndarray) -> np.ndarray:
+        """Make entries that hold a good part of their block rows of a matrix, block by block, the fullest of a block last; the numbers of all other postings."""
+        held = np.diff(first)
+        full = np.flatnonzero(held * DENSE >= BLOCK)
+        if len(full) > ROWS:
+            full = full[np.argpartition(-held[full], ROWS)[:ROWS]]
+        inside = np.zeros(len(held), dtype=bool)
+        inside[full] = True
+        full = full[np.lexsort((full, held[full], self.block[full]))]
+        self.row_first = np.searchsorted(self.block[full], np.arange(self.n_blocks + 1))
+        terms, self.row_column = np.unique(np.searchsorted(self.entries, full, side="right") - 1, return_inverse=True)
+        self.column = np.full(len(self.terms), -1, dtype=np.int32)
+        self.column[terms] = np.arange(len(terms))
+        self.n_columns = len(terms)
+        size = np.diff(self.row_first)
+        step = ((np.arange(len(full)) - np.repeat(self.row_first[:-1], size)) * STEPS) // np.repeat(size, size)
+        self.cuts, self.rows = [], np.zeros((len(full), BLOCK), dtype=np.float32)
+        for a, b in zip(self.row_first[:-1], self.row_first[1:], strict=True):
+            self.cuts.append([a + np.flatnonzero(step[a:b] == i) for i in range(STEPS)])
+            posting = _ranges(first[full[a:b]], first[full[a:b] + 1])
+            self.rows[np.repeat(np.arange(a, b), held[full[a:b]]), slots[posting] % BLOCK] = impact[posting]
+        at = step, self.block[full], self.row_column
+        self.row_most, self.row_held = (np.zeros((STEPS, self.n_blocks, len(terms)), dtype=np.float32) for _ in range(2))
+        self.row_most[at], self.row_held[at] = self.most[full], held[full]
+        #: Relative error of a sum of single-precision products, none of them negative, whatever their order; twice the bound.
+        self.error = (int(size.max(initial=0)) + 16) * 2.0**-23
+        return np.flatnonzero(np.repeat(~inside, held))
 
     def top(self, names: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best documents, best first, unless below ``least``."""
-        at = np.searchsorted(self.terms, names)
+        return self.tops(Batch([(names, weights)]), k, np.array([least])).get(0, (np.zeros(0, np.int64), np.zeros(0)))
+
+    def tops(self, asked: Batch, k: int, least: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For queries of the batch that have any, (ids, scores) of the k best documents, best first, unless below the query's ``least``."""
+        at = np.searchsorted(self.terms, asked.names)
         known = at < len(self.terms)
-        known[known] = self.terms[at[known]] == names[known]
-        at, weights = at[known], weights[known]
-        first, last = self.entries[at], self.entries[at + 1]
-        entry, weight, term = _ranges(first, last), np.repeat(weights, last - first), np.repeat(np.arange(len(at)), last - first)
-        block = self.block[entry]
-        self.held += int((self.first[last] - self.first[first]).sum())
-        # Sums of block maxima, from the least term to the greatest.
-        sums = np.zeros((len(at), self.n_blocks))
-        sums[term, block] = self.most[entry] * weight
-        order = np.argsort(sums.max(1, initial=0.0), kind="stable")
-        place = np.empty(len(at), dtype=np.int64)
-        place[order] = np.arange(len(at))
-        sums = np.cumsum(sums[order], axis=0)
-        whole = sums[-1] if len(at) else np.zeros(self.n_blocks)
-        reached = sums[place[term], block]
-        todo = np.flatnonzero(whole > 0)
-        todo = todo[np.argsort(-whole[todo], kind="stable")]
-        scores, taken, size = np.zeros(len(self.ids)), 0, self.n_blocks if least > 0 else FIRST_BLOCKS
-        while taken < len(todo) and whole[todo[taken]] >= least - SLACK:
-            some = np.zeros(self.n_blocks, dtype=bool)
-            some[todo[taken : taken + size]] = True
-            some &= whole >= least - SLACK
-            here = np.flatnonzero(some[block])
-            height = reached[here]
-            left, above = None, np.inf
-            for step in DESCENT if least > 0 else (0.0,):
-                bar = step * least - SLACK
-                now = here[(height >= bar) & (height < above)]
-                if left is None:
-                    self._add(scores, entry, weight, now)
-                elif len(now):
-                    self._complete(scores, left, now, entry, weight, term, at, weights)
-                if step:
-                    rest = np.where(sums < bar, sums, 0.0).max(0, initial=0.0)[self.block_of]
-                    out = some[self.block_of] & (scores + rest < least - SLACK)
-                    scores[out] = 0.0
-                    left = np.flatnonzero(some[self.block_of] & (scores > 0))
-                above = bar
-            taken, size = taken + size, size * MORE
-            reached_it = scores[scores > max(0.0, least - SLACK)]
-            if len(reached_it) > k:
-                least = max(least, float(np.partition(reached_it, -k)[-k]))
-        found = np.flatnonzero((scores > 0) & (scores >= least - SLACK))
-        return best(self.ids[found], scores[found], k)
-
-    def _add(self, scores: np.ndarray, entry: np.ndarray, weight: np.ndarray, wanted: np.ndarray) -> None:
-        entry, weight = entry[wanted], weight[wanted]
-        first, last = self.first[entry], self.first[entry + 1]
-        posting = _ranges(first, last)
-        self.read += len(posting)
-        scores += np.bincount(self.slots[posting], self.impact[posting] * np.repeat(weight, last - first), len(scores))
-
-    def _complete(self, scores: np.ndarray, left: np.ndarray, now: np.ndarray, entry: np.ndarray, weight: np.ndarray, term: np.ndarray, at: np.ndarray, weights: np.ndarray) -> None:
-        """Add what entries ``now`` give the documents ``left``: sought one by one, or read with their blocks."""
-        held = np.bincount(self.block_of[left], minlength=self.n_blocks)
-        counts = held[self.block[entry[now]]]
-        now, counts = now[counts > 0], counts[counts > 0]
-        if counts.sum() * SEEK >= (self.first[entry[now] + 1] - self.first[entry[now]]).sum():
-            open_ = np.zeros(len(scores), dtype=bool)
-            open_[left] = True
-            self._add(scores, entry, weight, now)
-            scores[~open_ & (held > 0)[self.block_of]] = 0.0
-            return
-        # left is in ascending order, so a block's documents stand together
-        first = np.searchsorted(self.block_of[left], self.block[entry[now]])
-        docs, terms = left[_ranges(first, first + counts)], np.repeat(term[now], counts)
-        keys = at[terms] << 16 | docs
-        posting = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[posting] == keys
-        self.read += int(hit.sum())
-        scores += np.bincount(docs[hit], self.impact[posting[hit]] * weights[terms[hit]], len(scores))
+        known[known] = self.terms[at[known]] == asked.names[known]
+        at[~known] = -1
+        term = at[asked.name_of]
+        has = term >= 0
+        term, weight, query = term[has], asked.weights[has], asked.owner[has].astype(np.int64)
+        n, blocks = asked.size, self.n_blocks
+        self.held += int((self.starts[term + 1] - self.starts[term]).sum())
+        wide = np.zeros((self.n_columns, n), dtype=np.float32)
+        columns = self.column[term]
+        in_rows = columns >= 0
+        wide[columns[in_rows], query[in_rows]] = weight[in_rows]
+        used = wide.any(1)
+        most = [(step @ wide).T for step in self.row_most]
+        held = [(step @ (wide > 0)).T for step in self.row_held]
+        # Sums of block maxima of a step's rows and later ones.
+        rest = np.cumsum(most[::-1], axis=0)[::-1] * np.float32(1 + 2 * self.error)
+        least = least.astype(float)
+        bar = self._bar(least)
+        scores = np.zeros((n, blocks * BLOCK), dtype=np.float32)
+        thin = np.bincount(query, weight * self.thin_most[term], n)
+        open_ = rest[0].max(1) + thin * (1 + self.error) >= bar
+        wanted = open_[query]
+        self._read_thin(scores, term[wanted], weight[wanted], query[wanted])
+        whole = rest[0] + scores.reshape(n, blocks, BLOCK).max(2)
+        whole[~open_] = 0.0
+        cold, begun, size = least <= 0, 0, FIRST_BLOCKS
+        rank = np.zeros((n, blocks), dtype=np.int64)
+        rank[cold] = np.argsort(np.argsort(-whole[cold], axis=1, kind="stable"), axis=1)
+        done = np.zeros((n, blocks), dtype=bool)
+        sought: list[tuple[np.ndarray, np.ndarray]] = []
+        while begun < blocks:
+            some = (whole > 0) & (whole >= bar[:, None]) & ~done & ((rank < begun + size) | ~cold[:, None])
+            for b in np.flatnonzero(some.any(0)):
+                self._read_rows(scores, b, np.flatnonzero(some[:, b]), bar, rest[:, :, b], [x[:, b] for x in held], used, wide, sought)
+            done |= some
+            for q in np.flatnonzero(cold & some.any(1)):
+                reached = scores[q].reshape(blocks, BLOCK)[done[q]].ravel()
+                if len(reached) >= k:
+                    least[q] = max(least[q], float(np.partition(reached, -k)[-k]) * (1 - self.error))
+            bar = self._bar(least)
+            if not cold.any():
+                break
+            begun, size = begun + size, size * MORE
+        scores.reshape(n, blocks, BLOCK)[~done] = 0.0
+        found = np.nonzero((scores > 0) & (scores >= bar[:, None]))
+        q, slot = (np.concatenate([x, *more]) for x, more in zip(found, zip(*sought, strict=True) if sought else ((), ()), strict=True))
+        return self._exact(q, slot, term, weight, query, k, least)
+
+    def _bar(self, least: np.ndarray) -> np.ndarray:
+        """What a sum in single precision surely reaches if the exact one reaches ``least``."""
+        return (np.maximum(least - SLACK, 0.0) * (1 - self.error)).astype(np.float32) * np.float32(1 - 2.0**-22)
+
+    def _read_thin(self, scores: np.ndarray, term: np.ndarray, weight: np.ndarray, query: np.ndarray) -> None:
+        """Put what thin postings give into ``scores``."""
+        first, last = self.thin_first[term], self.thin_first[term + 1]
+        some = last > first
+        first, last, weight, query = first[some], last[some], weight[some], query[some]
+        count = last - first
+        upto = np.append(0, np.cumsum(count))
+        self.read += int(upto[-1])
+        self.single += int(upto[-1])
+        ends = np.searchsorted(query, np.arange(len(scores) + 1))
+        width, a = scores.shape[1], 0
+        while a < len(scores):
+            # as many queries as read POSTINGS together, one at least
+            b = max(a + 1, int(np.searchsorted(upto[ends], upto[ends[a]] + POSTINGS, side="right")) - 1)
+            part = slice(ends[a], ends[b])
+            if ends[b] > ends[a]:
+                posting = _ranges(first[part], last[part])
+                to = np.repeat((query[part] - a) * width, count[part])
+                to += self.thin_slots[posting]
+                gain = np.repeat(weight[part], count[part])
+                gain *= self.thin_impact[posting]
+                scores[a:b] = np.bincount(to, gain, (b - a) * width).reshape(b - a, width)
+            a = b
+
+    def _read_rows(self, scores: np.ndarray, b: int, some: np.ndarray, bar: np.ndarray, rest: list[np.ndarray], held: list[np.ndarray], used: np.ndarray, wide: np.ndarray, sought: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Read block ``b`` for queries ``some``, step by step; documents left to be scored one by one go to ``sought``."""
+        part = slice(b * BLOCK, (b + 1) * BLOCK)
+        got, bar = scores[some, part], bar[some]
+        for to_come, postings, rows in zip(rest, held, self.cuts[b], strict=True):
+            # Beyond the pivot only documents that have enough already are left.
+            more = to_come[some]
+            beyond = np.flatnonzero(more < bar)
+            if len(beyond):
+                left = got[beyond] >= (bar[beyond] - more[beyond])[:, None]
+                few = (left.sum(1) <= FEW) & (more[beyond] > 0)
+                if few.any():
+                    q, d = np.nonzero(left[few])
+                    sought.append((some[beyond[few]][q], b * BLOCK + d))
+                    scores[some[beyond[few]], part] = 0.0
+                    stay = np.ones(len(some), dtype=bool)
+                    stay[beyond[few]] = False
+                    some, got, bar = some[stay], got[stay], bar[stay]
+            if not len(some):
+                return
+            rows = rows[used[self.row_column[rows]]]
+            if len(rows):
+                w = wide[self.row_column[rows]]
+                got += (w if len(some) == w.shape[1] else w[:, some]).T @ self.rows[rows]
+                self.read += int(postings[some].sum())
+        scores[some, part] = got
+
+    def _exact(self, q: np.ndarray, slot: np.ndarray, term: np.ndarray, weight: np.ndarray, query: np.ndarray, k: int, least: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """The lists of queries ``q``, whose ``slot`` documents are scored in double precision, each in the order of its terms."""
+        found = {}
+        order = np.argsort(q, kind="stable")
+        q, slot = q[order], slot[order]
+        asked = np.zeros(len(self.terms), dtype=bool)
+        weight_of = np.zeros(len(self.terms))
+        which, begin = np.unique(q, return_index=True)
+        own = np.searchsorted(query, np.append(which, len(least))).tolist() if len(which) else []
+        ends = np.searchsorted(query, which, side="right").tolist()
+        for i, (a, b) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(q)], strict=False)):
+            terms, docs = term[own[i] : ends[i]], slot[a:b]
+            asked[terms], weight_of[terms] = True, weight[own[i] : ends[i]]
+            first, last = self.doc_first[docs], self.doc_first[docs + 1]
+            held = np.concatenate([self.doc_term[x:y] for x, y in zip(first.tolist(), last.tolist(), strict=True)])
+            hit = np.flatnonzero(asked[held])
+            upto = np.cumsum(last - first)
+            doc = np.searchsorted(upto, hit, side="right")
+            gain = weight_of[held[hit]] * gains(self.doc_tf[hit + (last - upto)[doc]], self.norm[docs[doc]])
+            scores = np.bincount(doc, gain, len(docs))
+            asked[terms] = False
+            good = (scores > 0) & (scores >= least[which[i]] - SLACK)
+            if good.any():
+                found[int(which[i])] = best(self.ids[docs[good]], scores[good], k)
+        return found
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,16 +411,25 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _search(k: int, mean_length: float):
-    """Over rows sorted by (task, kind, seq): a task's queries come before its shards."""
+    """Over rows sorted by (task, kind, place): a task's queries come before its shards, queries alike one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        names: list[int] = []
+        waiting: list[Terms] = []
+        asked: list[Batch] = []
+        least: list[np.ndarray] = []
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         task = None
 
+        def gather() -> None:
+            if waiting:
+                asked.append(Batch(waiting))
+                least.append(np.zeros(len(waiting)))
+                waiting.clear()
+
         def out() -> pa.RecordBatch:
             n = [len(ids) for ids, _ in found.values()]
-            query = np.repeat(np.fromiter(found, dtype=np.int64, count=len(found)), n)
+            query = np.repeat(np.fromiter((names[i] for i in found), dtype=np.int64, count=len(found)), n)
             ids = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found.values())])
             scores = np.concatenate([np.zeros(0), *(x for _, x in found.values())])
             return pa.RecordBatch.from_arrays([pa.array(query), pa.array(ids), pa.array(scores)], ["query", "doc_id", "score"])
@@ -293,22 +439,31 @@ def _search(k: int, mean_length: float):
                 if b["task"][row].as_py() != task:
                     if found:
                         yield out()
-                    queries, found, task = {}, {}, b["task"][row].as_py()
+                    names, waiting, asked, least, found, task = [], [], [], [], {}, b["task"][row].as_py()
                 get = lambda c: b[c][row].as_buffer()  # noqa: B023, E731
                 if not b["kind"][row].as_py():
-                    queries[b["seq"][row].as_py()] = np.frombuffer(get("terms"), "<u8").copy(), np.frombuffer(get("weights"), "<f8").copy()
+                    names.append(b["seq"][row].as_py())
+                    waiting.append((np.frombuffer(get("terms"), "<u8").copy(), np.frombuffer(get("weights"), "<f8").copy()))
+                    if len(waiting) == BATCH:
+                        gather()
                     continue
+                gather()
                 shard = Shard({c: get(c) for c in SHARD}, mean_length)
-                for q, (names, weights) in queries.items():
-                    ids, scores = found.get(q, (np.zeros(0, np.int64), np.zeros(0)))
-                    new, more = shard.top(names, weights, k, float(scores[-1]) if len(scores) == k else 0.0)
-                    if len(new):
-                        found[q] = best(np.concatenate([ids, new]), np.concatenate([scores, more]), k)
+                for i, batch in enumerate(asked):
+                    with one_thread():
+                        new = shard.tops(batch, k, least[i])
+                    for q, (ids, scores) in new.items():
+                        before = found.get(i * BATCH + q)
+                        if before:
+                            ids, scores = best(np.concatenate([before[0], ids]), np.concatenate([before[1], scores]), k)
+                        found[i * BATCH + q] = ids, scores
+                        if len(scores) == k:
+                            least[i][q] = scores[-1]
                 del shard
                 trim()
         if found:
             yield out()
-        queries, found = {}, {}
+        names, waiting, asked, least, found = [], [], [], [], {}
         trim()
 
     return run
@@ -317,7 +472,7 @@ def _search(k: int, mean_length: float):
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         packed = [[x.values.to_numpy(zero_copy_only=False).tobytes() for x in b[c]] for c in ("terms", "weights")]
-        yield pa.RecordBatch.from_arrays([b["query"], *(pa.array(x, pa.binary()) for x in packed)], ["query", "terms", "weights"])
+        yield pa.RecordBatch.from_arrays([b["query"], b["common"], *(pa.array(x, pa.binary()) for x in packed)], ["query", "common", "terms", "weights"])
 
 
 def index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,21 +492,22 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, doc_id: str = "doc
     df = shards.select("terms", "starts", "slots").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     asked = checkpoint(queries.select(F.monotonically_increasing_id().alias("query"), F.col(query_id).cast("long").alias("query_id"), F.col(query_text).alias("text")))
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = asked.select("query", "text").mapInArrow(_query_terms, "query long, term long, n long").join(df, "term").select("query", "term", (F.col("n") * idf).alias("weight"))
-    known = weighed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t")).select("query", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
-    known = checkpoint(known.mapInArrow(_pack, "query long, terms binary, weights binary"))
+    weighed = asked.select("query", "text").mapInArrow(_query_terms, "query long, term long, n long").join(df, "term").select("query", "term", "n", (F.col("n") * idf).alias("weight"))
+    known = weighed.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("t"), F.max(F.struct("n", "term")).getField("term").alias("common"))
+    known = known.select("query", "common", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    known = checkpoint(known.mapInArrow(_pack, "query long, common long, terms binary, weights binary"))
     blocks = max(1, -(-known.count() // QUERY_BLOCK))
     groups = max(1, -(-n_bytes // TASK_BYTES), min(n_shards, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // blocks)))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     binary = lambda c: F.lit(None).cast("binary").alias(c)
     task = F.col("part") * groups + F.col("group")
     sent = known.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("group", each(groups))
-    sent = sent.select(task.alias("task"), F.lit(0).alias("kind"), F.col("query").alias("seq"), "weights", *["terms" if c == "terms" else binary(c) for c in SHARD])
+    sent = sent.select(task.alias("task"), F.lit(0).alias("kind"), F.col("common").alias("place"), F.col("query").alias("seq"), "weights", *["terms" if c == "terms" else binary(c) for c in SHARD])
     # A partition's shards are dealt on from its own number, so groups are even and nothing is numbered globally.
     dealt_to = F.shiftright("at", 33) + F.col("at").bitwiseAND((1 << 33) - 1) * 7919
     held = shards.withColumn("group", F.pmod(dealt_to, F.lit(groups)).cast("int")).withColumn("part", each(blocks))
-    held = held.select(task.alias("task"), F.lit(1).alias("kind"), F.col("at").alias("seq"), binary("weights"), *SHARD)
-    dealt = sent.union(held).repartitionById(blocks * groups, "task").sortWithinPartitions("task", "kind", "seq")
+    held = held.select(task.alias("task"), F.lit(1).alias("kind"), F.col("at").alias("place"), F.col("at").alias("seq"), binary("weights"), *SHARD)
+    dealt = sent.union(held).repartitionById(blocks * groups, "task").sortWithinPartitions("task", "kind", "place", "seq")
     # A row may be a whole shard.
     found = checkpoint(dealt.mapInArrow(_search(k, mean_length), "query long, doc_id long, score double"), rows=4)
     named: Column = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
